@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from difflib import SequenceMatcher
 from functools import cache
@@ -25,7 +24,8 @@ maestro don de del la el los las y
 def _ascii_folds() -> tuple[dict[str, str], dict[str, str]]:
     """Characters whose compatibility decomposition holds ASCII: one letter, several."""
     single, several = {}, {}
-    for code in range(0x80, sys.maxunicode + 1):
+    # The planes above hold no character that decomposes to ASCII.
+    for code in range(0x80, 0x20000):
         char = chr(code)
         plain = "".join(c for c in unicodedata.normalize("NFKD", char) if ord(c) < 128)
         if len(plain) == 1:
@@ -38,16 +38,17 @@ def _ascii_folds() -> tuple[dict[str, str], dict[str, str]]:
 def ascii_fold(name: Column) -> Column:
     """Drop accents and any character without an ASCII form."""
     single, several = _ascii_folds()
-    letters = F.regexp_extract_all(name, F.lit("(?s)(.)"), 1)
     pairs = "\n".join(f"{char}\t{plain}" for char, plain in several.items())
     table = F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit("\t"))
+    letters = F.regexp_extract_all(name, F.lit("(?s)(.)"), 1)
     spelled = F.array_join(
         F.transform(letters, lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
     )
     # Ligatures and the like are rare, so the per-character path is conditional.
-    name = F.when(name.rlike("[" + "".join(several) + "]"), spelled).otherwise(name)
-    name = F.translate(name, "".join(single), "".join(single.values()))
-    return F.regexp_replace(name, "[^\\x00-\\x7F]", "")
+    folded = F.when(name.rlike("[" + "".join(several) + "]"), spelled).otherwise(name)
+    folded = F.translate(folded, "".join(single), "".join(single.values()))
+    folded = F.regexp_replace(folded, "[^\\x00-\\x7F]", "")
+    return F.when(name.rlike("[^\\x00-\\x7F]"), folded).otherwise(name)
 
 
 def tokens(name: Column) -> Column:

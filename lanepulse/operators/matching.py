@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lanepulse.functions.geo import grid_cell, neighbour_cells, segment_distance, x_km, y_km
 from lanepulse.functions.names import may_be_similar, name_key, token_similarity
 from lanepulse.params import DEFAULTS, Params
+from lanepulse.staging import stage
 
 # Cells are a hair wider than the radius, so that rounding cannot put a point at
 # exactly the radius two cells away.
@@ -68,8 +69,12 @@ def name_scores(pairs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     initial and 0.9 as a near miss of a long token; the score is their mean.
     Tokens are scored in tenths, so that equal scores compare equal.
     """
-    keyed = pairs.select("street", "name").distinct().withColumns(
-        {"wanted": name_key(F.col("street")), "offered": name_key(F.col("name"))}
+    distinct = pairs.select("street", "name").distinct()
+    keyed = stage(
+        distinct.withColumns(
+            {"wanted": name_key(F.col("street")), "offered": name_key(F.col("name"))}
+        ),
+        "name-pairs",
     )
     # An empty key on either side scores 0 and has no token row.
     wanted = keyed.select(
@@ -119,7 +124,8 @@ def corridor_candidates(
     sites: DataFrame, chunks: DataFrame, p: Params = DEFAULTS
 ) -> DataFrame:
     """Every (site, corridor) within the snap radius with distance and name score."""
-    near = near_corridors(sites, chunks, p)
+    # Read twice, for the names and for the distances; the spatial join runs once.
+    near = stage(near_corridors(sites, chunks, p), "near-corridors")
     pairs = sites.select("site_id", "street", "lat", "lon").join(near, ["lat", "lon"])
     return pairs.join(name_scores(pairs, p), ["street", "name"]).select(
         "site_id", "corridor_id", "name", "distance", "score"
