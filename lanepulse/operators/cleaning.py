@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanepulse.functions.clock import time_bucket
-from lanepulse.params import DEFAULTS, LANE_KEY, SITE_KEY, Params, period_of
+from lanepulse.operators.sites import aggregate_per_site
+from lanepulse.params import DEFAULTS, LANE_KEY, Params, period_of
 
 COUNTERS = ["n_rows", "n_missing", "n_implausible", "n_negative", "n_zero", "n_moving"]
 
@@ -56,32 +57,43 @@ def with_period(readings: DataFrame, period: Column) -> DataFrame:
     return readings.withColumn("period", period)
 
 
-def bucket_cells(readings: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def bucket_cells(
+    readings: DataFrame, sites: DataFrame, p: Params = DEFAULTS
+) -> DataFrame:
     """Sums and counts per lane, date and time bucket.
 
     The only wide shuffle over raw rows: partial sums are combined before it, so
     a hot sensor costs one row per cell and map task. Everything but the
-    percentile follows from these cells.
+    percentile follows from these cells. Readings without a site have no number.
     """
     keyed = readings.withColumn("bucket", time_bucket(F.col("time"), p))
-    return keyed.groupBy(*period_of(readings), *LANE_KEY, "date", "bucket").agg(*_counters(p))
 
+    def per_cell(frame: DataFrame, site: list[str]) -> DataFrame:
+        keys = [*period_of(frame), *site, *LANE_KEY[1:], "date", "bucket"]
+        return frame.groupBy(*keys).agg(*_counters(p))
 
-def speed_histogram(readings: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    return aggregate_per_site(keyed, sites, per_cell)
+
+
+def speed_histogram(
+    readings: DataFrame, sites: DataFrame, p: Params = DEFAULTS
+) -> DataFrame:
     """Number of moving readings per lane and speed value."""
-    moving = readings.where(is_moving(F.col("speed"), p))
-    return moving.groupBy(*period_of(readings), *LANE_KEY, "speed").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+
+    def per_speed(frame: DataFrame, site: list[str]) -> DataFrame:
+        keys = [*period_of(frame), *site, *LANE_KEY[1:], "speed"]
+        return frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+    return aggregate_per_site(readings.where(is_moving(F.col("speed"), p)), sites, per_speed)
 
 
 def load_report(cells: DataFrame) -> DataFrame:
-    """Readings per class with their shares, in one row; works on any level of cells."""
+    """Readings per class with their shares, in one row."""
     totals = cells.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS],
         # Readings whose street columns are incomplete never reach a site.
         F.coalesce(
-            F.sum(F.when(_incomplete_site(), F.col("n_rows"))), F.lit(0)
+            F.sum(F.when(F.col("site_id").isNull(), F.col("n_rows"))), F.lit(0)
         ).alias("n_unjoinable"),
     )
     shares = {
@@ -90,13 +102,6 @@ def load_report(cells: DataFrame) -> DataFrame:
     return totals.withColumns(shares)
 
 
-def _incomplete_site() -> Column:
-    missing = F.lit(False)
-    for name in SITE_KEY:
-        missing = missing | F.col(name).isNull()
-    return missing
-
-
 def class_counts(readings: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return readings.groupBy(reading_class(F.col("speed"), p).alias("reading_class")).agg(
         F.count(F.lit(1)).alias("n")

@@ -13,7 +13,9 @@ from lanepulse.functions.geo import (
     x_km,
     y_km,
 )
+from lanepulse.joins import cell_join
 from lanepulse.operators.matching import CELL_MARGIN
+from lanepulse.operators.roads import CHUNK_KEY
 from lanepulse.params import DEFAULTS, Params
 
 BLEND = "blend"
@@ -69,7 +71,7 @@ def street_field(
     apart = distance(F.col("mx"), F.col("my"), F.col("sx"), F.col("sy"))
     weight = F.when(F.col("d") <= reach, gaussian(F.col("d"), p.street_bandwidth_km))
     reached = (
-        midpoints.join(spots, ["corridor_id", "cx", "cy"], "left")
+        cell_join(midpoints, spots, ["corridor_id", "cx", "cy"], CHUNK_KEY, "left")
         .withColumn("d", apart)
         .withColumn("w", weight)
     )

@@ -6,23 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanepulse.operators.cleaning import COUNTERS
-from lanepulse.params import DEFAULTS, LANE_KEY, SITE_KEY, Params, period_of
+from lanepulse.params import DEFAULTS, LANE_KEY, Params, period_of
 
 
 def n_valid() -> Column:
     return F.col("n_rows") - F.col("n_missing") - F.col("n_implausible")
 
 
-def lane_totals(cells: DataFrame, sites: DataFrame) -> DataFrame:
-    """Lifetime counters per lane of every joinable site.
-
-    Aggregates before it looks up the site, so the join sees one row per lane.
-    A site with an empty street column has no match and drops out.
-    """
-    totals = cells.groupBy(*period_of(cells), *LANE_KEY).agg(
+def lane_totals(cells: DataFrame) -> DataFrame:
+    """Lifetime counters per lane; readings with an empty street column drop out."""
+    placed = cells.where(F.col("site_id").isNotNull())
+    return placed.groupBy(*period_of(cells), *LANE_KEY).agg(
         *[F.sum(c).alias(c) for c in COUNTERS], F.sum("speed_sum").alias("speed_sum")
     )
-    return totals.join(sites.select("site_id", *SITE_KEY), SITE_KEY)
 
 
 def lane_health(lanes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -30,16 +26,13 @@ def lane_health(lanes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     mean = F.try_divide(F.col("speed_sum"), F.col("n_moving"))
     return lanes.where(n_valid() > 0).select(
         *period_of(lanes),
-        "site_id",
-        "detector_id",
-        "lane",
+        *LANE_KEY,
         "n_moving",
         mean.alias("mean_speed"),
         ((F.col("n_moving") == 0) | (mean < p.flatline_speed)).alias("is_dead"),
         n_valid().alias("n_valid"),
         "n_zero",
         "speed_sum",
-        *SITE_KEY,
     )
 
 

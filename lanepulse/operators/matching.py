@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lanepulse.functions.geo import grid_cell, neighbour_cells, segment_distance, x_km, y_km
 from lanepulse.functions.names import may_be_similar, name_key, token_similarity
+from lanepulse.joins import cell_join, small_side
 from lanepulse.params import DEFAULTS, Params
 from lanepulse.staging import stage
 
@@ -20,7 +21,8 @@ def near_corridors(sites: DataFrame, chunks: DataFrame, p: Params = DEFAULTS) ->
 
     Both sides meet in cells as wide as the radius: a chunk lies in the cells its
     box touches, a position asks the 3 x 3 block around it. Sites that share a
-    position are looked up once.
+    position are looked up once, and as long as the positions are few the
+    chunks stay where they are.
     """
     snap = p.snap_m / 1000.0
     width = snap * CELL_MARGIN
@@ -52,10 +54,11 @@ def near_corridors(sites: DataFrame, chunks: DataFrame, p: Params = DEFAULTS) ->
         .withColumn("c", F.explode(neighbour_cells("sx", "sy")))
         .select("lat", "lon", "px", "py", "c.cx", "c.cy")
     )
-    ends = [F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")]
+    ends = ["ax", "ay", "bx", "by"]
+    apart = segment_distance(*[F.col(c) for c in ("px", "py", *ends)])
     return (
-        spread.join(asking, ["cx", "cy"])
-        .withColumn("distance", segment_distance(*ends))
+        cell_join(spread, asking, ["cx", "cy"], ["corridor_id", *ends], "inner")
+        .withColumn("distance", apart)
         .where(F.col("distance") <= snap)
         .groupBy("lat", "lon", "corridor_id", "name")
         .agg(F.min("distance").alias("distance"))
@@ -120,15 +123,18 @@ def name_scores(pairs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     )
 
 
+SPOT = ["lat", "lon", "street"]
+
+
 def corridor_candidates(
-    sites: DataFrame, chunks: DataFrame, p: Params = DEFAULTS
+    spots: DataFrame, chunks: DataFrame, p: Params = DEFAULTS
 ) -> DataFrame:
-    """Every (site, corridor) within the snap radius with distance and name score."""
+    """Corridors within the snap radius of each (position, street), with their scores."""
     # Read twice, for the names and for the distances; the spatial join runs once.
-    near = stage(near_corridors(sites, chunks, p), "near-corridors")
-    pairs = sites.select("site_id", "street", "lat", "lon").join(near, ["lat", "lon"])
+    near = stage(near_corridors(spots, chunks, p), "near-corridors")
+    pairs = spots.select(*SPOT).join(near, ["lat", "lon"])
     return pairs.join(name_scores(pairs, p), ["street", "name"]).select(
-        "site_id", "corridor_id", "name", "distance", "score"
+        *SPOT, "corridor_id", "name", "distance", "score"
     )
 
 
@@ -137,16 +143,21 @@ def assign_corridors(
 ) -> DataFrame:
     """(site_id, corridor_id) for every given site; NULL where no name is close enough.
 
-    The best score wins, then the smaller distance, then the lower corridor.
+    The best score wins, then the smaller distance, then the lower corridor. The
+    choice depends on position and street alone, so it is made once for all
+    sites that share them.
     """
     rank = F.struct(-F.col("score"), F.col("distance"), F.col("corridor_id"))
     best = (
-        corridor_candidates(sites, chunks, p)
+        corridor_candidates(sites.select(*SPOT).distinct(), chunks, p)
         .where(F.col("score") >= p.name_floor)
-        .groupBy("site_id")
+        .groupBy(*SPOT)
         .agg(F.min_by("corridor_id", rank).alias("corridor_id"))
     )
-    return sites.select("site_id").join(best, "site_id", "left")
+    best = small_side(stage(best, "best-corridors"))
+    return sites.select("site_id", *SPOT).join(best, SPOT, "left").select(
+        "site_id", "corridor_id"
+    )
 
 
 def unmatched_names(sites: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +21,23 @@ def keyed_ways(ways: DataFrame) -> DataFrame:
     return ways.where(F.size("coords") >= 2).withColumn("key", name_key(F.col("name")))
 
 
-def split_ways(ways: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Each polyline as equal pieces of at most the chunk length, per segment."""
-    segments = ways.withColumn(
-        "segment", F.explode(F.sequence(F.lit(1), F.size("coords") - 1))
-    ).select(
+def split_ways(
+    ways: DataFrame, keep: Sequence[str] = (), p: Params = DEFAULTS
+) -> DataFrame:
+    """Each polyline as equal pieces of at most the chunk length, per segment.
+
+    `keep` names further columns of the way to repeat on its pieces.
+    """
+    points = F.size("coords") - 1
+    ends = F.arrays_zip(
+        F.slice("coords", 1, points).alias("a"), F.slice("coords", 2, points).alias("b")
+    )
+    segments = ways.select("way_id", *keep, F.posexplode(ends).alias("at", "ends")).select(
         "way_id",
-        "segment",
-        F.element_at("coords", F.col("segment")).alias("a"),
-        F.element_at("coords", F.col("segment") + 1).alias("b"),
+        *keep,
+        (F.col("at") + 1).alias("segment"),
+        F.col("ends.a").alias("a"),
+        F.col("ends.b").alias("b"),
     )
     length = distance(
         x_km(F.col("b.lon"), p), y_km(F.col("b.lat"), p),
@@ -44,9 +54,8 @@ def split_ways(ways: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
     first, last = F.col("piece") / F.col("steps"), (F.col("piece") + 1) / F.col("steps")
     return pieces.select(
-        "way_id",
-        "segment",
-        "piece",
+        *keep,
+        *CHUNK_KEY,
         along("lon", first).alias("lon0"),
         along("lat", first).alias("lat0"),
         along("lon", last).alias("lon1"),
@@ -170,8 +179,10 @@ def road_chunks(
     ways: DataFrame, corridors: DataFrame, p: Params = DEFAULTS
 ) -> DataFrame:
     """One row per drawable chunk with its corridor and midpoint."""
-    pieces = split_ways(ways.where(F.size("coords") >= 2), p)
-    return pieces.join(corridors, "way_id").select(
+    # Ways are joined before they are cut: they are fewer than their pieces.
+    drawable = ways.where(F.size("coords") >= 2).select("way_id", "coords")
+    labelled = drawable.join(corridors, "way_id")
+    return split_ways(labelled, ["corridor_id", "name", "key"], p).select(
         "corridor_id",
         "name",
         "key",

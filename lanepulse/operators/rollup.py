@@ -6,28 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanepulse.functions.clock import day_of_week
+from lanepulse.joins import small_side
 from lanepulse.operators.lanes import live_lanes, n_valid
 from lanepulse.operators.sites import streets_per_point
 from lanepulse.params import DEFAULTS, LANE_KEY, SITE_KEY, Params, period_of
-from lanepulse.staging import small_side
 
 
 def measurements(cells: DataFrame, health: DataFrame) -> DataFrame:
-    """Cells of live lanes under their site number.
+    """Cells of live lanes.
 
     Cells are already one row per lane, date and bucket, so this is a lookup and
     not a second aggregation; no lane can hold more rows than its days allow.
     """
     keys = period_of(cells)
-    lookup = small_side(live_lanes(health).select(*keys, *LANE_KEY, "site_id"))
+    alive = small_side(live_lanes(health).select(*keys, *LANE_KEY))
     return (
         cells.where(n_valid() > 0)
-        .join(lookup, [*keys, *LANE_KEY])
+        .join(alive, [*keys, *LANE_KEY], "left_semi")
         .select(
             *keys,
-            "site_id",
-            "detector_id",
-            "lane",
+            *LANE_KEY,
             "date",
             "bucket",
             day_of_week(F.col("date")).alias("dow"),
@@ -66,9 +64,9 @@ def free_flow(histogram: DataFrame, health: DataFrame, p: Params = DEFAULTS) ->
     one short list.
     """
     keys = period_of(histogram)
-    lookup = small_side(live_lanes(health).select(*keys, *LANE_KEY, "site_id"))
+    alive = small_side(live_lanes(health).select(*keys, *LANE_KEY))
     counts = (
-        histogram.join(lookup, [*keys, *LANE_KEY])
+        histogram.join(alive, [*keys, *LANE_KEY], "left_semi")
         .groupBy(*keys, "site_id", "speed")
         .agg(F.sum("n").alias("n"))
     )

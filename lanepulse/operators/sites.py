@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanepulse.joins import is_small
 from lanepulse.operators.numbering import dense_ids
 from lanepulse.params import DEFAULTS, SITE_KEY, Params
 
 
 def number_sites(frame: DataFrame) -> DataFrame:
-    """Distinct measuring points of readings or cells, numbered 1.. in key order.
+    """Distinct measuring points of the readings, numbered 1.. in key order.
 
     `site_key` is a stable id for inputs that grow: numbers shift when a new
     point appears, the hash does not.
@@ -20,6 +23,24 @@ def number_sites(frame: DataFrame) -> DataFrame:
     return numbered.withColumn("site_key", F.xxhash64(*SITE_KEY))
 
 
+def aggregate_per_site(
+    frame: DataFrame,
+    sites: DataFrame,
+    aggregate: Callable[[DataFrame, list[str]], DataFrame],
+) -> DataFrame:
+    """`aggregate(frame, site columns)` of rows that carry a site's key, by `site_id`.
+
+    With a broadcastable site table the number is looked up first, so that only
+    numbers are shuffled. Otherwise rows are aggregated under the full key and
+    the shorter result is joined.
+    """
+    lookup = sites.select("site_id", *SITE_KEY)
+    if is_small(lookup):
+        numbered = frame.join(F.broadcast(lookup), SITE_KEY, "left").drop(*SITE_KEY)
+        return aggregate(numbered, ["site_id"])
+    return aggregate(frame, SITE_KEY).join(lookup, SITE_KEY, "left").drop(*SITE_KEY)
+
+
 def streets_per_point(sites: DataFrame) -> DataFrame:
     return sites.groupBy("lat", "lon").agg(
         F.count_distinct("street").alias("streets_at_coord")

@@ -28,11 +28,23 @@ def pick(
 
 
 def by_scope(facts: DataFrame) -> DataFrame:
-    """Facts repeated under each day scope they belong to, as column `scope`."""
+    """Site sums per bucket under each day scope they belong to, as column `scope`.
+
+    Days are summed per weekday first, so the repetition is over few rows.
+    """
     scopes = F.array(
         *[F.when(F.col("dow").isin(*days), F.lit(name)) for name, days in DAY_SCOPES.items()]
     )
-    return facts.withColumn("scope", F.explode(F.array_compact(scopes)))
+    per_weekday = _site_sums(facts, ["dow", "bucket"])
+    return per_weekday.withColumn("scope", F.explode(F.array_compact(scopes)))
+
+
+def _site_sums(facts: DataFrame, by: Sequence[str]) -> DataFrame:
+    return facts.groupBy(*period_of(facts), "site_id", *by).agg(
+        F.sum("speed_sum").alias("speed_sum"),
+        F.sum("n_moving").alias("n_moving"),
+        F.sum("n_zero").alias("n_zero"),
+    )
 
 
 def _samples(include_zeros: bool) -> Column:
@@ -105,18 +117,6 @@ def _profile(frame: DataFrame, keys: list[str], include_zeros: bool, p: Params)
     )
 
 
-def _per_site_bucket(facts: DataFrame, dows: Sequence[int] | None) -> DataFrame:
-    return (
-        pick(facts, dows)
-        .groupBy(*period_of(facts), "site_id", "bucket")
-        .agg(
-            F.sum("speed_sum").alias("speed_sum"),
-            F.sum("n_moving").alias("n_moving"),
-            F.sum("n_zero").alias("n_zero"),
-        )
-    )
-
-
 def city_profile(
     facts: DataFrame,
     sites: DataFrame,
@@ -127,7 +127,7 @@ def city_profile(
 ) -> DataFrame:
     """City-wide mean per bucket over usable sites, located or not."""
     keys = period_of(facts)
-    kept = _per_site_bucket(facts, dows).join(
+    kept = _site_sums(pick(facts, dows), ["bucket"]).join(
         sites.where("is_usable").select(*keys, "site_id"), [*keys, "site_id"], "left_semi"
     )
     return _profile(kept, [*keys, "bucket"], include_zeros, p)
@@ -145,7 +145,7 @@ def street_profile(
     """Mean per bucket for each of the named streets."""
     keys = period_of(facts)
     named = sites.where(F.col("is_usable") & F.col("street").isin(*streets))
-    kept = _per_site_bucket(facts, dows).join(
+    kept = _site_sums(pick(facts, dows), ["bucket"]).join(
         named.select(*keys, "site_id", "street"), [*keys, "site_id"]
     )
     return _profile(kept, [*keys, "street", "bucket"], include_zeros, p)

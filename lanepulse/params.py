@@ -7,7 +7,7 @@ from math import cos, radians
 
 # Key of a measuring point in the raw feed.
 SITE_KEY = ["lat", "lon", "street", "from_street", "to_street"]
-LANE_KEY = [*SITE_KEY, "detector_id", "lane"]
+LANE_KEY = ["site_id", "detector_id", "lane"]
 
 # Optional extra key: when a frame carries it, every whole-period rule (dead
 # lanes, free flow, day/night) is judged inside one period.

@@ -27,8 +27,10 @@ from lanepulse.staging import stage
 class Ingest:
     """Stages of one load, each made once and only when asked for.
 
-    Raw rows are scanned twice, for the cells and for the speed histogram, and
-    both scans shrink before they shuffle. All later stages read the results.
+    Raw rows are scanned for the sites, for the cells and for the speed
+    histogram; each scan reads its own columns and shrinks before it shuffles.
+    All later stages read the results. Hand in a columnar source: text is better
+    written as Parquet first.
     """
 
     def __init__(self, raw: DataFrame, period: Column | None = None, p: Params = DEFAULTS):
@@ -39,19 +41,19 @@ class Ingest:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return stage(bucket_cells(self.readings, self.p), "cells")
+        return stage(bucket_cells(self.readings, self.sites, self.p), "cells")
 
     @cached_property
     def histogram(self) -> DataFrame:
-        return speed_histogram(self.readings, self.p)
+        return speed_histogram(self.readings, self.sites, self.p)
 
     @cached_property
     def sites(self) -> DataFrame:
-        return number_sites(self.cells)
+        return number_sites(self.readings)
 
     @cached_property
     def lanes(self) -> DataFrame:
-        return stage(lane_ops.lane_totals(self.cells, self.sites), "lanes")
+        return stage(lane_ops.lane_totals(self.cells), "lanes")
 
     @cached_property
     def health(self) -> DataFrame:
@@ -82,7 +84,9 @@ def build_tables(
     `period` (for instance the month of `date`) makes dead lanes and site
     figures per period, and the fact table one folder per period.
     """
-    load = Ingest(read_readings(spark, csv_paths, **csv_options), period, p)
+    # Text is parsed once; the scans of the load read the typed copy.
+    raw = stage(read_readings(spark, csv_paths, **csv_options), "readings")
+    load = Ingest(raw, period, p)
     write_measurements(load.measurements, f"{out}/measurements")
     facts = read_table(spark, f"{out}/measurements")
     write_table(load.detectors(facts), f"{out}/detectors")

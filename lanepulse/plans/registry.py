@@ -22,7 +22,7 @@ from lanepulse.operators.sites import placeholder_sites, streets_per_point
 from lanepulse.params import DAY_SCOPES
 from lanepulse.plans.ingest import Ingest
 from lanepulse.plans.network import claimed_network
-from lanepulse.sources.readings import read_readings
+from lanepulse.sources.readings import read_readings, write_readings_csv
 from lanepulse.sources.roads import read_ways
 from lanepulse.sources.sample_feed import read_sample_feed, ways_from_sites
 from lanepulse.staging import session_folder, stage
@@ -136,22 +136,10 @@ def load_report(s: Store) -> DataFrame:
 def csv_load_report(s: Store) -> DataFrame:
     """The feed written as headed CSV, read back through the CSV source."""
     path = f"{session_folder(s.spark)}/readings-csv"
-    names = {
-        "detector_id": "id_detector",
-        "lane": "id_carril",
-        "date": "fecha",
-        "time": "hora",
-        "street": "dsc_avenida",
-        "from_street": "dsc_int_anterior",
-        "to_street": "dsc_int_siguiente",
-        "lat": "latitud",
-        "lon": "longitud",
-        "speed": "velocidad_promedio",
-    }
-    raw = s.load.readings.select(*[F.col(c).alias(n) for c, n in names.items()])
-    raw.write.mode("overwrite").option("header", True).csv(path)
-    load = Ingest(read_readings(s.spark, path))
-    return cleaning.load_report(cleaning.bucket_cells(load.readings))
+    spelling = {"detector_id": "id_detector", "speed": "velocidad_promedio"}
+    write_readings_csv(s.load.readings, path, spelling)
+    load = Ingest(stage(read_readings(s.spark, path), "readings"))
+    return cleaning.load_report(load.cells)
 
 
 @query
@@ -380,6 +368,8 @@ def surface_every_bucket(s: Store) -> DataFrame:
     """Supported cells, mean value and support of the surface of each scope and half hour."""
     by = ["scope", "bucket"]
     sliced = slices.site_slice(slices.by_scope(s.facts), s.sites, by=by, min_samples=1)
+    # Read for the grid ends and for the cells.
+    sliced = stage(sliced.select(*by, "lat", "lon", "speed"), "slices")
     cells = surface.surface_cells(sliced, "speed", by=by)
     return cells.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_supported"),

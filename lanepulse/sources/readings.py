@@ -14,6 +14,19 @@ ALIASES = {
     "detector": ("cod_detector", "id_detector"),
     "speed": ("velocidad", "velocidad_promedio"),
 }
+# Canonical column to the first accepted spelling.
+FEED_NAMES = {
+    "detector_id": "cod_detector",
+    "lane": "id_carril",
+    "date": "fecha",
+    "time": "hora",
+    "street": "dsc_avenida",
+    "from_street": "dsc_int_anterior",
+    "to_street": "dsc_int_siguiente",
+    "lat": "latitud",
+    "lon": "longitud",
+    "speed": "velocidad",
+}
 RAW_TYPES = {
     "cod_detector": T.LongType(),
     "id_detector": T.LongType(),
@@ -63,18 +76,8 @@ def _read_one(spark: SparkSession, path: str, sep: str, date_format: str) -> Dat
         .option("mode", "FAILFAST")
         .csv(path)
     )
-    return raw.select(
-        F.col(detector).alias("detector_id"),
-        F.col("id_carril").alias("lane"),
-        F.col("fecha").alias("date"),
-        F.col("hora").alias("time"),
-        F.col("dsc_avenida").alias("street"),
-        F.col("dsc_int_anterior").alias("from_street"),
-        F.col("dsc_int_siguiente").alias("to_street"),
-        F.col("latitud").alias("lat"),
-        F.col("longitud").alias("lon"),
-        F.col(speed).alias("speed"),
-    )
+    found = {**FEED_NAMES, "detector_id": detector, "speed": speed}
+    return raw.select(*[F.col(c).alias(name) for name, c in found.items()])
 
 
 def read_readings(
@@ -88,3 +91,13 @@ def read_readings(
     paths = [paths] if isinstance(paths, str) else list(paths)
     frames = [_read_one(spark, path, sep, date_format) for path in paths]
     return reduce(DataFrame.unionByName, frames)
+
+
+def write_readings_csv(
+    readings: DataFrame, path: str, spelling: dict[str, str] | None = None
+) -> None:
+    """Canonical readings as headed CSV; `spelling` overrides feed column names."""
+    names = {**FEED_NAMES, **(spelling or {})}
+    readings.select(*[F.col(c).alias(n) for c, n in names.items()]).write.mode(
+        "overwrite"
+    ).option("header", True).csv(path)

@@ -1,4 +1,4 @@
-"""Cutting lineage through written tables, and size-checked broadcasts."""
+"""Cutting lineage through written tables."""
 
 from __future__ import annotations
 
@@ -6,11 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# A lookup side is broadcast only when its measured size stays below this.
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,27 +41,3 @@ def discard_staged(spark: SparkSession) -> None:
     """Delete this session's staged tables; call when the outputs are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """In-memory size estimate from the actual rows; meant for staged frames."""
-    fixed, variable = 0, []
-    for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            variable.append(F.coalesce(F.octet_length(F.col(field.name)), F.lit(0)))
-        elif isinstance(field.dataType, T.ArrayType):
-            variable.append(F.coalesce(F.size(F.col(field.name)), F.lit(0)) * 24)
-        fixed += 16
-    width = F.lit(fixed)
-    for part in variable:
-        width = width + part
-    return df.agg(F.sum(width.cast("bigint")).alias("bytes")).first()["bytes"] or 0
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast when the measured size allows it.
-
-    Beyond the limit the frame is returned unhinted: the join then shuffles on
-    its keys and skewed partitions are split at run time.
-    """
-    return F.broadcast(df) if measured_bytes(df) <= limit else df
