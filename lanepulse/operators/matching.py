@@ -155,7 +155,8 @@ def assign_corridors(
         .agg(F.min_by("corridor_id", rank).alias("corridor_id"))
     )
     best = small_side(stage(best, "best-corridors"))
-    return sites.select("site_id", *SPOT).join(best, SPOT, "left").select(
+    # With several periods a site comes once for each.
+    return sites.select("site_id", *SPOT).distinct().join(best, SPOT, "left").select(
         "site_id", "corridor_id"
     )
 

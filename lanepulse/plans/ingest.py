@@ -88,7 +88,7 @@ def build_tables(
     raw = stage(read_readings(spark, csv_paths, **csv_options), "readings")
     load = Ingest(raw, period, p)
     write_measurements(load.measurements, f"{out}/measurements")
-    facts = read_table(spark, f"{out}/measurements")
+    facts = read_table(spark, f"{out}/measurements", load.measurements.schema)
     write_table(load.detectors(facts), f"{out}/detectors")
     detectors = read_table(spark, f"{out}/detectors")
     return {

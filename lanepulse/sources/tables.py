@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lanepulse.params import period_of
 
@@ -19,15 +20,22 @@ def write_measurements(measurements: DataFrame, path: str) -> None:
     """Fact table; one folder per period when there are several.
 
     Rows are ordered by day and bucket inside each file, so a slice skips the
-    row groups it does not need.
+    row groups it does not need. Periods are first brought together, a long one
+    over several tasks, so that no task writes a small file into every folder.
     """
     keys = period_of(measurements)
+    if keys:
+        measurements = measurements.hint("rebalance", *keys)
     ordered = measurements.sortWithinPartitions(*keys, "dow", "bucket", "site_id")
     write_table(ordered, path, keys)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | None = None
+) -> DataFrame:
+    """Stored table; with a schema, folder names are read as the type they had."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(path)
 
 
 def write_slice_csv(export: DataFrame, path: str) -> None:
