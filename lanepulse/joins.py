@@ -43,20 +43,21 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
-def cell_join(
-    rows: DataFrame, tiles: DataFrame, keys: Sequence[str], row_key: Sequence[str], how: str
-) -> DataFrame:
-    """Join of `rows` with `tiles` on spatial cells, of which any may be crowded.
+def cell_join(rows: DataFrame, tiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of the distinct `rows` with `tiles` on cells, any of them crowded.
 
-    With small `tiles` nothing is shuffled. Otherwise the rows of a crowded cell
-    are dealt out over several parts by a hash of `row_key`, and the tiles of
-    that cell are repeated for each part; no pair is lost or doubled. Input size
-    does not show how many pairs a cell makes, so run-time skew handling alone
-    would leave them to one task.
+    Copies are dropped before they meet anything. With small `tiles` rows of
+    other cells are dropped too, and the tiles are sent to the rows. Otherwise
+    the rows of a crowded cell are dealt out over several parts by their hash,
+    and the tiles of that cell are repeated for each part; no pair is lost or
+    doubled. Input size does not show how many pairs a cell makes, so run-time
+    skew handling alone would leave them to one task. Hand in staged `tiles`.
     """
     keys = list(keys)
     if is_small(tiles):
-        return rows.join(F.broadcast(tiles), keys, how)
+        cells = F.broadcast(tiles.select(*keys).distinct())
+        return rows.join(cells, keys, "left_semi").distinct().join(F.broadcast(tiles), keys)
+    rows = rows.distinct()
     n_parts = F.ceil(F.col("n") / F.lit(ROWS_PER_PART)).cast("int")
     crowded = (
         rows.groupBy(*keys)
@@ -65,11 +66,11 @@ def cell_join(
         .select(*keys, n_parts.alias("parts"))
     )
     crowded = small_side(crowded)
-    deal = F.pmod(F.xxhash64(*row_key), F.col("parts")).cast("int")
+    deal = F.pmod(F.xxhash64(*rows.columns), F.col("parts")).cast("int")
     dealt = rows.join(crowded, keys, "left").withColumn("part", F.coalesce(deal, F.lit(0)))
     last = F.coalesce(F.col("parts"), F.lit(1)) - 1
     repeated = tiles.join(crowded, keys, "left").withColumn(
         "part", F.explode(F.sequence(F.lit(0), last))
     )
-    joined = dealt.drop("parts").join(repeated.drop("parts"), [*keys, "part"], how)
+    joined = dealt.drop("parts").join(repeated.drop("parts"), [*keys, "part"])
     return joined.drop("part")

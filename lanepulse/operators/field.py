@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanepulse.functions.geo import (
@@ -15,37 +15,21 @@ from lanepulse.functions.geo import (
 )
 from lanepulse.joins import cell_join
 from lanepulse.operators.matching import CELL_MARGIN
-from lanepulse.operators.roads import CHUNK_KEY
 from lanepulse.params import DEFAULTS, Params
+from lanepulse.staging import stage
 
 BLEND = "blend"
 NEAREST = "nearest"
 STUB = "stub"
 REACH_MODELS = (BLEND, NEAREST, STUB)
 
+CELL = ["corridor_id", "cx", "cy"]
+MIDPOINT = ["corridor_id", "mid_lon", "mid_lat"]
 
-def street_field(
-    chunks: DataFrame,
-    sites: DataFrame,
-    column: str,
-    *,
-    mode: str = BLEND,
-    p: Params = DEFAULTS,
-) -> DataFrame:
-    """All chunks with `value` (NULL if nothing reaches them) and `support`.
-
-    `sites` carry a `corridor_id`. Blend averages the corridor's sites by
-    distance; nearest gives a chunk to its closest site; stub does so only close
-    to the site. Chunks and sites meet on corridor and cell, so a long corridor
-    is not paired with all of its sites.
-    """
-    if mode not in REACH_MODELS:
-        raise ValueError(f"unknown reach model {mode!r}, expected one of {REACH_MODELS}")
-    reach = p.street_stub_km if mode == STUB else p.street_cutoff_km
-    width = reach * CELL_MARGIN
 
-    reading = F.col(column).cast("double")
-    spots = (
+def _spots(sites: DataFrame, reading: Column, width: float, p: Params) -> DataFrame:
+    """Readings per corridor and position, in each cell from which they are asked for."""
+    return (
         sites.where(reading.isNotNull() & F.col("corridor_id").isNotNull())
         .groupBy(
             "corridor_id",
@@ -63,32 +47,64 @@ def street_field(
             {"gx": grid_cell(F.col("sx"), width), "gy": grid_cell(F.col("sy"), width)}
         )
         .withColumn("c", F.explode(neighbour_cells("gx", "gy")))
-        .select("corridor_id", "sx", "sy", "v", "n", "first_id", "first_v", "c.cx", "c.cy")
+        .select("corridor_id", "c.cx", "c.cy", "sx", "sy", "v", "n", "first_id", "first_v")
     )
-    midpoints = chunks.withColumns(
-        {"mx": x_km(F.col("mid_lon"), p), "my": y_km(F.col("mid_lat"), p)}
-    ).withColumns({"cx": grid_cell(F.col("mx"), width), "cy": grid_cell(F.col("my"), width)})
-    apart = distance(F.col("mx"), F.col("my"), F.col("sx"), F.col("sy"))
-    weight = F.when(F.col("d") <= reach, gaussian(F.col("d"), p.street_bandwidth_km))
-    reached = (
-        cell_join(midpoints, spots, ["corridor_id", "cx", "cy"], CHUNK_KEY, "left")
-        .withColumn("d", apart)
-        .withColumn("w", weight)
+
+
+def street_field(
+    chunks: DataFrame,
+    sites: DataFrame,
+    column: str,
+    *,
+    mode: str = BLEND,
+    p: Params = DEFAULTS,
+) -> DataFrame:
+    """All chunks with `value` (NULL if nothing reaches them) and `support`.
+
+    `sites` carry a `corridor_id`. Blend averages the corridor's sites by
+    distance; nearest gives a chunk to its closest site; stub does so only close
+    to the site. Midpoints and spots meet on corridor and cell, so a long
+    corridor is not paired with all of its sites, and what stands or lies at one
+    point is worked out once.
+    """
+    if mode not in REACH_MODELS:
+        raise ValueError(f"unknown reach model {mode!r}, expected one of {REACH_MODELS}")
+    reach = p.street_stub_km if mode == STUB else p.street_cutoff_km
+    width = reach * CELL_MARGIN
+    spots = stage(_spots(sites, F.col(column).cast("double"), width, p), "spots")
+
+    placed = (
+        chunks.select(*MIDPOINT)
+        .withColumns({"mx": x_km(F.col("mid_lon"), p), "my": y_km(F.col("mid_lat"), p)})
+        .withColumns({"cx": grid_cell(F.col("mx"), width), "cy": grid_cell(F.col("my"), width)})
     )
-    # The narrow key leads, so that ordering the rows rarely looks at the rest.
-    others = [c for c in chunks.columns if c not in CHUNK_KEY]
-    groups = reached.groupBy(*CHUNK_KEY, *others)
+    apart = distance(F.col("mx"), F.col("my"), F.col("sx"), F.col("sy"))
+
+    def reached(midpoints: DataFrame) -> DataFrame:
+        pairs = cell_join(midpoints, spots, CELL).withColumn("d", apart)
+        return pairs.where(F.col("d") <= reach)
+
     if mode == BLEND:
-        support = F.sum(F.col("w") * F.col("n"))
-        value = F.sum(F.col("w") * F.col("v")) / support
+        weight = gaussian(F.col("d"), p.street_bandwidth_km)
+        support = F.sum(weight * F.col("n"))
+        value = F.sum(weight * F.col("v")) / support
+        found = reached(placed).groupBy(*MIDPOINT).agg(
+            support.alias("support"), value.alias("value")
+        )
     else:
-        # Rows out of reach have no order and are skipped.
-        order = F.when(F.col("w").isNotNull(), F.struct("d", "first_id"))
-        support = F.min_by("w", order)
-        value = F.min_by("first_v", order)
-    fielded = groups.agg(
-        F.coalesce(support, F.lit(0.0)).alias("support"), value.alias("raw")
-    )
-    return fielded.select(
-        *chunks.columns, F.when(F.col("support") > 0, F.col("raw")).alias("value"), "support"
+        # The gap first, then who stands at it: both passes keep plain numbers
+        # per midpoint, where ordering by distance and site would sort all pairs.
+        gaps = reached(placed).groupBy(*placed.columns).agg(F.min("d").alias("gap"))
+        found = (
+            reached(gaps)
+            .where(F.col("d") == F.col("gap"))
+            .groupBy(*MIDPOINT, "gap")
+            .agg(F.min_by("first_v", "first_id").alias("value"))
+            .withColumn("support", gaussian(F.col("gap"), p.street_bandwidth_km))
+        )
+    supported = F.col("support") > 0
+    return chunks.join(found, MIDPOINT, "left").select(
+        *chunks.columns,
+        F.when(supported, F.col("value")).alias("value"),
+        F.coalesce("support", F.lit(0.0)).alias("support"),
     )

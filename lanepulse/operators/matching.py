@@ -21,8 +21,7 @@ def near_corridors(sites: DataFrame, chunks: DataFrame, p: Params = DEFAULTS) ->
 
     Both sides meet in cells as wide as the radius: a chunk lies in the cells its
     box touches, a position asks the 3 x 3 block around it. Sites that share a
-    position are looked up once, and as long as the positions are few the
-    chunks stay where they are.
+    position are looked up once, and so are chunks with the same ends.
     """
     snap = p.snap_m / 1000.0
     width = snap * CELL_MARGIN
@@ -44,7 +43,7 @@ def near_corridors(sites: DataFrame, chunks: DataFrame, p: Params = DEFAULTS) ->
         .withColumn("cx", F.explode(cells_between("ax", "bx")))
         .withColumn("cy", F.explode(cells_between("ay", "by")))
     )
-    asking = (
+    asking = stage(
         sites.select("lat", "lon")
         .distinct()
         .withColumns({"px": x_km(F.col("lon"), p), "py": y_km(F.col("lat"), p)})
@@ -52,13 +51,13 @@ def near_corridors(sites: DataFrame, chunks: DataFrame, p: Params = DEFAULTS) ->
             {"sx": grid_cell(F.col("px"), width), "sy": grid_cell(F.col("py"), width)}
         )
         .withColumn("c", F.explode(neighbour_cells("sx", "sy")))
-        .select("lat", "lon", "px", "py", "c.cx", "c.cy")
+        .select("lat", "lon", "px", "py", "c.cx", "c.cy"),
+        "positions",
     )
-    ends = ["ax", "ay", "bx", "by"]
-    apart = segment_distance(*[F.col(c) for c in ("px", "py", *ends)])
+    ends = [F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")]
     return (
-        cell_join(spread, asking, ["cx", "cy"], ["corridor_id", *ends], "inner")
-        .withColumn("distance", apart)
+        cell_join(spread, asking, ["cx", "cy"])
+        .withColumn("distance", segment_distance(*ends))
         .where(F.col("distance") <= snap)
         .groupBy("lat", "lon", "corridor_id", "name")
         .agg(F.min("distance").alias("distance"))
