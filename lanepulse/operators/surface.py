@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from lanepulse.functions.geo import distance, gaussian, x_km, y_km
 from lanepulse.params import DEFAULTS, Params
 
+# Each point makes well over a hundred cell rows.
+POINTS_PER_TASK = 20_000
+
+# Axes are a handful of numbers per surface.
+BROADCAST_AXES = 100_000
+
 _AXES = ("x0", "dx", "nx", "y0", "dy", "ny")
 
 
@@ -60,10 +66,23 @@ def surface_axes(points: DataFrame, by: Sequence[str] = (), p: Params = DEFAULTS
 
 
 def _with_axes(points: DataFrame, axes: DataFrame, by: Sequence[str]) -> DataFrame:
-    if by:
-        return points.join(axes, list(by))
-    row = axes.select(F.struct(*_AXES)).scalar()
-    return points.withColumn("axes", row).select("*", "axes.*").drop("axes")
+    """Points with the axes of their grid.
+
+    Points of one surface are brought into one task where all surfaces are small
+    enough: their cells are then summed where they are made, and only points are
+    shuffled. Larger surfaces stay spread, and their cells are combined by a shuffle.
+    """
+    if not by:
+        row = axes.select(F.struct(*_AXES)).scalar()
+        return points.withColumn("axes", row).select("*", "axes.*").drop("axes")
+    sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    largest, n_surfaces = sizes.agg(F.max("n"), F.count(F.lit(1))).first()
+    if n_surfaces <= BROADCAST_AXES:
+        axes = F.broadcast(axes)
+    if (largest or 0) <= POINTS_PER_TASK:
+        tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        points = points.repartition(tasks, *by)
+    return points.join(axes, list(by))
 
 
 def _reach(at: str, origin: str, spacing: str, length: str, p: Params) -> Column:

@@ -432,7 +432,10 @@ def test_surface_of_nothing(spark):
     assert surface.surface_bounds(df, "speed").count() == 0
 
 
-def test_surfaces_by_key_equal_single_surfaces(spark):
+@pytest.mark.parametrize("points_per_task", [20_000, 3])
+def test_surfaces_by_key_equal_single_surfaces(spark, monkeypatch, points_per_task):
+    monkeypatch.setattr(surface, "POINTS_PER_TASK", points_per_task)
+    monkeypatch.setattr(surface, "BROADCAST_AXES", points_per_task - 10)
     groups = {"a": random_sites(20, 1), "b": random_sites(25, 2)}
     rows = [(g, *s) for g, sites in groups.items() for s in sites]
     both = surface.surface_cells(spark.createDataFrame(rows, f"g string, {SITES}"), "speed", by=["g"])
