@@ -75,7 +75,11 @@ def month_of_csv(spark: SparkSession, path: str, rows: int) -> int:
 
 
 def main() -> None:
-    scratch = tempfile.mkdtemp(prefix="lanepulse-bench-")
+    with tempfile.TemporaryDirectory(prefix="lanepulse-bench-") as scratch:
+        measure(scratch)
+
+
+def measure(scratch: str) -> None:
     spark = build_session(
         "lanepulse-bench",
         f"local[{CPUS}]",

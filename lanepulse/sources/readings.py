@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,7 @@ FEED_NAMES = {
     "lon": "longitud",
     "speed": "velocidad",
 }
+TEXTS = ("hora", "dsc_avenida", "dsc_int_anterior", "dsc_int_siguiente")
 RAW_TYPES = {
     "cod_detector": T.LongType(),
     "id_detector": T.LongType(),
@@ -43,9 +44,20 @@ RAW_TYPES = {
 }
 
 
+def _csv(spark: SparkSession, sep: str) -> DataFrameReader:
+    """Quotes inside quotes are doubled; blanks around values do not count."""
+    return (
+        spark.read.option("header", True)
+        .option("sep", sep)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", True)
+        .option("ignoreTrailingWhiteSpace", True)
+    )
+
+
 def header_columns(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     """Column names from the header line; no data is read."""
-    return spark.read.option("header", True).option("sep", sep).csv(path).columns
+    return _csv(spark, sep).csv(path).columns
 
 
 def pick_alias(columns: Sequence[str], role: str) -> str:
@@ -66,9 +78,8 @@ def _read_one(spark: SparkSession, path: str, sep: str, date_format: str) -> Dat
         [T.StructField(c, RAW_TYPES.get(c, T.StringType())) for c in columns]
     )
     raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("sep", sep)
+        _csv(spark, sep)
+        .schema(schema)
         .option("dateFormat", date_format)
         # A header that disagrees with the first file's, or a value of the wrong
         # type, stops the job: a silent NULL would count as a missing reading.
@@ -77,7 +88,9 @@ def _read_one(spark: SparkSession, path: str, sep: str, date_format: str) -> Dat
         .csv(path)
     )
     found = {**FEED_NAMES, "detector_id": detector, "speed": speed}
-    return raw.select(*[F.col(c).alias(name) for name, c in found.items()])
+    # A quoted nothing is as empty as an unquoted one.
+    texts = {c: F.nullif(F.col(c), F.lit("")) for c in TEXTS}
+    return raw.withColumns(texts).select(*[F.col(c).alias(n) for n, c in found.items()])
 
 
 def read_readings(
@@ -100,4 +113,4 @@ def write_readings_csv(
     names = {**FEED_NAMES, **(spelling or {})}
     readings.select(*[F.col(c).alias(n) for c, n in names.items()]).write.mode(
         "overwrite"
-    ).option("header", True).csv(path)
+    ).option("header", True).option("escape", '"').csv(path)

@@ -42,4 +42,4 @@ def write_slice_csv(export: DataFrame, path: str) -> None:
     """One headed CSV per range of the sort order; file names follow that order."""
     export.orderBy(F.asc_nulls_last("speed")).write.mode("overwrite").option(
         "header", True
-    ).csv(path)
+    ).option("escape", '"').csv(path)

@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from lanepulse.session import build_session  # noqa: E402
+from lanepulse.staging import discard_staged  # noqa: E402
 
 
 def local_session():
@@ -29,4 +30,5 @@ def spark():
     session = local_session()
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    discard_staged(session)
     session.stop()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,25 @@ def test_csv_accepts_both_spellings_and_unions_files(spark, tmp_path):
     assert clean.count() == 2  # the row without a latitude is gone
 
 
+def test_csv_corners_read_as_another_engine_reads_them(spark, tmp_path):
+    path = write_text(
+        tmp_path / "odd.csv",
+        "cod_detector,id_carril,fecha,hora,dsc_avenida,dsc_int_anterior,dsc_int_siguiente,"
+        "latitud,longitud,velocidad\n"
+        '1,1,2026-08-03,07:05:00,"Av ""Uno"", norte",  B ,C,-34.9,-56.1,42\n'
+        '2,1,2026-08-03,07:05:00,"","B\\",C,-34.9,-56.1,""\n'
+        "3,1,2026-08-03,07:05:00,,,,-34.9,-56.1,\n",
+    )
+    names = "detector_id, street, from_street, to_street, lat, speed"
+    clean = cleaning.clean_readings(read_readings(spark, path))
+    got = [tuple(r) for r in clean.select(*names.split(", ")).orderBy("detector_id").collect()]
+    expected = duckdb.sql(
+        "SELECT cod_detector, trim(dsc_avenida), trim(dsc_int_anterior), trim(dsc_int_siguiente), "
+        f"latitud, velocidad FROM read_csv_auto('{path}', header=true) ORDER BY 1"
+    ).fetchall()
+    assert got == expected
+
+
 def test_missing_column_names_what_was_found():
     with pytest.raises(ValueError, match="no speed column.*cod_detector, other"):
         pick_alias(["other", "cod_detector"], "speed")
