@@ -6,6 +6,7 @@ import pytest
 from compare import compare, duck
 
 import __spark_entry__ as entry_points
+from lanepulse.plans import oracle, registry
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -16,10 +17,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert entry_points.queries().keys() == entry_points.oracle_sql().keys()
+    assert registry.queries().keys() == oracle.oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", entry_points.queries())
+@pytest.mark.parametrize("name", registry.queries())
 def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, name, FOLDER) == []
 
