@@ -25,7 +25,7 @@ BASES = (1_000_003_861, 1_640_531_527)
 SPAN = 16
 SKETCH = 64
 RANGE_BYTES = 8 << 20
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 _P, _S = np.uint64(PRIME), np.uint64(31)
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -37,7 +37,7 @@ def _fold(x: np.ndarray) -> np.ndarray:
 
 def _exact(x: np.ndarray) -> np.ndarray:
     x = _fold(x)
-    return np.where(x >= _P, x - _P, x)
+    return x - _P * (x >= _P)
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
