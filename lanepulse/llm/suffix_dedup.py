@@ -40,7 +40,7 @@ WINDOWS = LENGTH - GRAM + 1
 SIDE = WINDOWS - 1
 CONTEXT = LENGTH + SIDE
 RANK_BYTES = 8 << 20
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 8 << 20
 MATRIX_ROWS = 1 << 15
 
 _PACKED = "part int, settled boolean, target int, keys binary, at binary, data binary"
@@ -208,8 +208,8 @@ def _contexts(n_rank: int, n_text: int):
         part = ((rank >> np.uint64(40)) % np.uint64(n_rank)).astype(np.int32)
         order = np.lexsort((key, rank))
         out = []
-        for lo in range(0, len(order), MATRIX_ROWS * 8):
-            some = order[lo : lo + MATRIX_ROWS * 8]
+        for lo in range(0, len(order), MATRIX_ROWS):
+            some = order[lo : lo + MATRIX_ROWS]
             rows = _context_rows(data, begin[some], end[some], begin[some] + at[some])
             # Within a batch of whole equal contexts the first stands for all.
             name = K.prefix_hash(K.BYTE_TABLE[rows])[:, -1]
