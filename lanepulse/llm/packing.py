@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from lanepulse.staging import stage
 SEQUENCE = 2048
 END = 1
 GROUP_PIECES = 4096
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 LONGEST_CACHED = 48
 _BLOCK = 1 << 20
 
@@ -34,7 +35,9 @@ class Encoder:
 
     The tokenizer drops white space and never joins across it, so a text's ids are
     those of its chunks between spaces and line ends. Only these four characters
-    cut: every engine agrees on them.
+    cut: every engine agrees on them. It also parts letters from marks and lowers
+    all letters, so a word's forms share one entry. The first CACHED_WORDS forms
+    are kept, which the frequent ones are among.
     """
 
     def __init__(self, path: str):
@@ -42,25 +45,51 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {}
+        self.seen: dict[str, bytes] = dict(zip("., ", self._ids([".", ",", " "])))
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _learn(self, new: set[str]) -> list[str]:
+        seen, forms, unknown = self.seen, [], []
+        for chunk in new:
+            mark = chunk[-1:] if chunk[-1:] in (".", ",") else ""
+            stem = chunk[: len(chunk) - len(mark)]
+            if stem.isalpha() and "\u03a3" not in stem and "\u0130" not in stem:
+                low = stem.lower()
+                forms.append((chunk, low, mark))
+                if low not in seen:
+                    unknown.append(low)
+            else:
+                unknown.append(chunk)
+        unknown = list(set(unknown))
+        seen.update(zip(unknown, self._ids(unknown)))
+        for chunk, low, mark in forms:
+            seen[chunk] = seen[low] + seen[mark] if mark else seen[low]
+        return [c for c, _, _ in forms] + unknown
 
     def encode(self, texts: list[str]):
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.seen) > CACHED_WORDS:
-            self.seen = {}
-        new = list(set().union(*split) - self.seen.keys())
-        self.seen.update(zip(new, self._ids(new)))
+        room = max(0, CACHED_WORDS - len(self.seen))
+        new = self._learn(set().union(*split) - self.seen.keys())
         for chunks in split:
             yield b"".join(map(self.seen.__getitem__, chunks))
-        for chunk in new:
-            if len(chunk) > LONGEST_CACHED:
+        for k, chunk in enumerate(new):
+            if k >= room or len(chunk) > LONGEST_CACHED:
                 self.seen.pop(chunk, None)
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One per worker process, so that later tasks find the words of earlier ones."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _tokenised(path: str, length: int, end: int, with_ids: bool):
     tail = np.array([end], "<u4").tobytes()
 
@@ -78,11 +107,11 @@ def _tokenised(path: str, length: int, end: int, with_ids: bool):
             yield part
 
     def run(batches):
-        encoder = Encoder(path)
+        words = encoder(path)
         for batch in batches:
             for part in blocks(batch):
                 rows = [[] for _ in _PIECES]
-                for (key, ident, _), raw in zip(part, encoder.encode([t for _, _, t in part])):
+                for (key, ident, _), raw in zip(part, words.encode([t for _, _, t in part])):
                     raw += tail
                     total = len(raw) // 4
                     for start in range(0, total, length):
