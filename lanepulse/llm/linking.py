@@ -1,8 +1,9 @@
 """Near-duplicate texts as components of verified links, without listing all pairs.
 
 Texts that share a band are candidates. Only connections matter for components, so
-each round lets every text propose one partner: in each of its bands a leader drawn
-anew per round is looked up, and the leader of the best estimate is proposed. The
+each round lets every text propose one partner: in each of its bands a leader is
+looked up, in turn the member that shares most with others and one drawn by hash, and
+the leader of the best estimate is proposed. The
 proposals are checked on the full shingle sets, and bands whose members are all in
 one component take no further part. When a round links little, the pairs left over
 (same band, different components, not yet refused) are checked one by one, so no
@@ -25,6 +26,10 @@ from lanepulse.staging import stage
 
 BITS = 4
 NIBBLES = 16
+# Members of a band that one task compares with those outside its main component.
+PART_ROWS = 4000
+# Rounds of proposals go on while one in so many links.
+PROGRESS = 5
 SIGNED = "node long, n_shingles long, name binary, sig array<long>, bands array<long>"
 _SIGNED = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("name", pa.binary()),
                      ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
@@ -45,7 +50,7 @@ def minima(values: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-def signed(nodes: np.ndarray, column, size: int, bands: int, rows: int):
+def signed(nodes: np.ndarray, column, size: int, bands: int, rows: int, count: int):
     """Batches of SIGNED for texts; a text without words has no name, signature or bands.
 
     The name is a digest of the whole set, the signature keeps the low BITS bits of
@@ -59,9 +64,9 @@ def signed(nodes: np.ndarray, column, size: int, bands: int, rows: int):
         names: list = [None] * (hi - lo)
         for d, a, m in zip(have, starts, n[have]):
             names[d] = hashlib.blake2b(values[a : a + m].tobytes(), digest_size=16).digest()
-        low = minima(values, starts, bands * rows) if len(have) else np.zeros((0, bands * rows), np.uint32)
+        low = minima(values, starts, count) if len(have) else np.zeros((0, count), np.uint32)
         seed = np.arange(bands, dtype=np.uint64)
-        band = low.reshape(len(have), bands, rows).astype(np.uint64)
+        band = low[:, : bands * rows].reshape(len(have), bands, rows).astype(np.uint64)
         key = np.broadcast_to(seed, (len(have), bands)).copy()
         for k in range(rows):
             key = K.mix(key * np.uint64(0x100000001B3) + band[:, :, k])
@@ -129,6 +134,58 @@ def _check(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> Dat
     return both.mapInArrow(_verified(size, threshold), "hi long, lo long, linked boolean")
 
 
+def _left_over(count: int, floor: float):
+    """Sorted band members to the pairs of different components that look similar enough.
+
+    A pair is named in the first band it shares; two members that are both away from
+    the leader's component meet in every part and are named in part 0.
+    """
+    longs = -(-count // NIBBLES)
+    ones = np.uint64(0x1111111111111111)
+
+    def pairs(rows: pa.Table):
+        node, label = rows["node"].to_numpy(), rows["label"].to_numpy()
+        away, part, at = rows["away"].to_numpy(zero_copy_only=False), rows["part"][0].as_py(), rows["at"][0].as_py()
+        order = np.argsort(~away, kind="stable")
+        lists = lambda name: rows[name].combine_chunks().flatten().to_numpy().reshape(len(node), -1)[order]
+        sig, bands = lists("sig").view(np.uint64)[:, :longs], lists("bands")
+        node, label, n_away = node[order], label[order], int(away.sum())
+        hi, lo = [], []
+        for i in range(n_away):
+            first = i + 1 if part == 0 else n_away
+            x = sig[first:] ^ sig[i]
+            x |= x >> np.uint64(2)
+            x |= x >> np.uint64(1)
+            equal = 1 - np.bitwise_count(x & ones).sum(axis=1) / count
+            like = np.flatnonzero(
+                ((equal - 1 / NIBBLES) / (1 - 1 / NIBBLES) >= floor) & (label[first:] != label[i])
+            ) + first
+            if at:
+                like = like[~(bands[like, :at] == bands[i, :at]).any(axis=1)]
+            hi.append(np.maximum(node[like], node[i]))
+            lo.append(np.minimum(node[like], node[i]))
+        none = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([none, *hi])), pa.array(np.concatenate([none, *lo]))], names=["hi", "lo"]
+        )
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if kept is None else pa.concat_tables([kept, rows])
+            band, part = rows["band"].to_numpy(), rows["part"].to_numpy()
+            starts = np.flatnonzero((band[1:] != band[:-1]) | (part[1:] != part[:-1])) + 1
+            edges = [0, *starts.tolist()]
+            for lo, hi in zip(edges, edges[1:]):
+                yield pairs(rows.slice(lo, hi - lo))
+            kept = rows.slice(edges[-1])
+        if kept is not None and kept.num_rows:
+            yield pairs(kept)
+
+    return run
+
+
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")]
 
@@ -143,15 +200,18 @@ def linked_components(
     estimate under `floor` are not looked at. The label is the smallest node.
     """
     spread = items.select("node", F.posexplode("bands").alias("at", "value")).select(
-        "node", F.xxhash64("at", "value").alias("band")
+        "node", "at", F.xxhash64("at", "value").alias("band")
     )
-    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stage(shared, "shared-bands")
-    members = stage(spread.join(small_side(shared), "band", "left_semi"), "band-members")
-    nodes = small_side(stage(members.select("node").distinct(), "candidates"))
+    members = stage(spread.join(small_side(shared), "band"), "band-members")
+    # A text that many are similar to shares the most bands with the most texts.
+    weights = small_side(stage(members.groupBy("node").agg(F.sum("n").alias("weight")), "candidates"))
+    nodes = weights.select("node")
     texts = stage(texts.join(nodes, "node", "left_semi"), "candidate-texts")
-    sigs = stage(items.select("node", "sig").join(nodes, "node", "left_semi"), "candidate-signatures")
+    sigs = stage(items.select("node", "sig", "bands").join(nodes, "node", "left_semi"), "candidate-signatures")
 
+    spark = items.sparkSession
     links = refused = labels = None
     progress, round_no = True, 0
     while True:
@@ -159,41 +219,51 @@ def linked_components(
             small_side(labels), "node", "left"
         )
         label = F.col("node") if labels is None else F.coalesce("label", "node")
-        current = current.select("band", "node", label.alias("label"))
+        current = current.join(weights, "node").select("band", "at", "n", "node", "weight", label.alias("label"))
+        drawn = F.xxhash64("node", F.lit(round_no))
+        order = F.struct(F.col("weight"), drawn) if round_no % 2 == 0 else F.struct(drawn)
         mixed = current.groupBy("band").agg(
             F.min("label").alias("a"), F.max("label").alias("b"),
-            F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(round_no))).alias("leader"),
+            F.max_by(F.struct("node", "label"), order).alias("leader"),
         ).where("a <> b").select("band", "leader")
         current = stage(current.join(mixed, "band"), "open-bands")
         told = current.select(
-            "band", "node", "label", F.col("leader.node").alias("leader"),
+            "band", "at", "n", "node", "label", F.col("leader.node").alias("leader"),
             F.col("leader.label").alias("leader_label"),
         )
         last = not progress
-        if not last:
-            pairs = told.where("label <> leader_label").select("node", "leader").distinct()
-        else:
-            # What is left: members of a band outside its leader's component against
-            # all, and against each other.
-            other = told.select("band", F.col("node").alias("leader"), F.col("label").alias("leader_label"))
-            apart = told.where("label <> leader_label").select("band", "node", "label")
-            pairs = apart.join(other, "band").where("label <> leader_label").select(
-                *[c.alias(n) for c, n in zip(_ordered(F.col("node"), F.col("leader")), ("node", "leader"))]
-            ).distinct()
-        if refused is not None:
-            tried = refused.select(F.col("hi").alias("x"), F.col("lo").alias("y"))
-            pairs = pairs.join(
-                tried, (F.greatest("node", "leader") == F.col("x")) & (F.least("node", "leader") == F.col("y")), "left_anti"
+        if last:
+            # What is left: members of a band outside its leader's component, with each
+            # other and with the rest. A long band is dealt over several parts.
+            parts = F.ceil(F.col("n") / F.lit(PART_ROWS)).cast("int")
+            away = F.col("label") != F.col("leader_label")
+            own = F.pmod(F.xxhash64("node"), parts)
+            spots = F.when(away, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own.cast("int")))
+            spotted = told.select(
+                "band", F.explode(spots).alias("part"), "at", "node", "label", away.alias("away")
+            ).join(sigs, "node")
+            wide = spark.conf.get("spark.sql.shuffle.partitions")
+            dealt = spotted.repartition(int(wide), "band", "part").sortWithinPartitions("band", "part")
+            pairs = dealt.select("band", "part", "at", "node", "label", "away", "sig", "bands").mapInArrow(
+                _left_over(count, floor), "hi long, lo long"
             )
-        theirs = sigs.select(F.col("node").alias("leader"), F.col("sig").alias("leader_sig"))
-        scored = pairs.join(sigs, "node").join(theirs, "leader").withColumn(
-            "score", estimate(F.col("sig"), F.col("leader_sig"), count)
-        ).where(F.col("score") >= floor)
-        if not last:
-            scored = scored.groupBy("node").agg(
+        else:
+            pairs = told.where("label <> leader_label").select("node", "leader").distinct()
+            theirs = sigs.select(F.col("node").alias("leader"), F.col("sig").alias("leader_sig"))
+            own = sigs.select("node", "sig")
+            scored = pairs.join(own, "node").join(theirs, "leader").withColumn(
+                "score", estimate(F.col("sig"), F.col("leader_sig"), count)
+            ).where(F.col("score") >= floor)
+            if refused is not None:
+                scored = scored.select(*_ordered(F.col("node"), F.col("leader")), "node", "leader", "score").join(
+                    refused, ["hi", "lo"], "left_anti"
+                )
+            pairs = scored.groupBy("node").agg(
                 F.max_by("leader", F.struct("score", "leader")).alias("leader")
-            )
-        pairs = stage(scored.select(*_ordered(F.col("node"), F.col("leader"))).distinct(), "proposals")
+            ).select(*_ordered(F.col("node"), F.col("leader"))).distinct()
+        if last and refused is not None:
+            pairs = pairs.join(refused, ["hi", "lo"], "left_anti")
+        pairs = stage(pairs, "proposals")
         checked = stage(_check(small_side(pairs), texts, size, threshold), "checked-pairs")
         found = checked.where("linked").select("hi", "lo")
         counts = checked.agg(
@@ -206,6 +276,6 @@ def linked_components(
         refused = no if refused is None else refused.unionByName(no)
         if last:
             return labels
-        # Go on with proposals while most of them link; they cost one check a node.
-        progress = counts["n"] > 0 and (counts["yes"] or 0) * 2 >= counts["n"] and round_no < 8
+        # Go on with proposals while enough of them link; they cost one check a node.
+        progress = (counts["yes"] or 0) * PROGRESS >= max(counts["n"], 1)
         round_no += 1

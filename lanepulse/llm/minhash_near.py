@@ -20,15 +20,17 @@ from lanepulse.staging import stage
 
 # A link at 0.8 is missed by every band with probability 0.488 ** 32, under 2e-10.
 BANDS, ROWS = 32, 3
-# Seven standard deviations of the estimate below 0.8.
-FLOOR = 0.5
+# Minima beyond those of the bands make the estimate sharper.
+MINIMA = 320
+# Three and a half standard deviations of the estimate below 0.8: 0.024 each.
+FLOOR = 0.715
 
 
 def _sign(size: int):
     def run(batches):
         for batch in batches:
             nodes = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield from signed(nodes, batch.column(1), size, BANDS, ROWS)
+            yield from signed(nodes, batch.column(1), size, BANDS, ROWS, MINIMA)
 
     return run
 
@@ -68,7 +70,7 @@ def grouped(rows: DataFrame, *, size: int, threshold: int) -> DataFrame:
     items = signs.select("node", "sig", "bands").join(heads, "node", "left_semi")
     texts = rows.select(F.col("key").alias("node"), "text")
     labels = linked_components(
-        items, texts, size=size, threshold=threshold, count=BANDS * ROWS, floor=FLOOR
+        items, texts, size=size, threshold=threshold, count=MINIMA, floor=FLOOR
     )
     placed = signs.select("node", "n_shingles", "name").join(firsts, "name", "left")
     if labels is None:

@@ -23,7 +23,9 @@ MIN_WORDS = 20
 ROWS = 3
 RECALL = 0.9998
 LINE_BITS = 24
-FLOOR = 0.2
+MINIMA = 96
+# Six standard deviations of the estimate below 0.8.
+FLOOR = 0.55
 BLOCK = 1 << 14
 
 
@@ -59,7 +61,7 @@ def _sign(size: int, min_words: int, bands: int):
         for batch in batches:
             rows = (x.as_py() for x in batch.column(1))
             for nodes, lines in _paragraphs(batch.column(0).to_pylist(), rows, min_words):
-                yield from signed(np.array(nodes, np.int64), pa.array(lines, pa.string()), size, bands, ROWS)
+                yield from signed(np.array(nodes, np.int64), pa.array(lines, pa.string()), size, bands, ROWS, MINIMA)
 
     return run
 
@@ -95,7 +97,7 @@ def repeated_lines(
     items = signs.select("node", "sig", "bands").join(heads, "node", "left_semi")
     labels = linked_components(
         items, scan.mapInArrow(_lines(min_words), "node long, text string"),
-        size=size, threshold=threshold, count=bands * ROWS, floor=FLOOR,
+        size=size, threshold=threshold, count=MINIMA, floor=FLOOR,
     )
     if labels is None:
         heads = firsts.where("n > 1").select("name", F.col("first").alias("label"))
