@@ -23,9 +23,9 @@ MIN_WORDS = 20
 ROWS = 3
 RECALL = 0.9998
 LINE_BITS = 24
-MINIMA = 96
-# Six standard deviations of the estimate below 0.8.
-FLOOR = 0.55
+MINIMA = 320
+# Three and a half standard deviations of the estimate below 0.8.
+FLOOR = 0.715
 BLOCK = 1 << 14
 
 
