@@ -9,10 +9,16 @@ from lanepulse.params import DEFAULTS, Params
 
 
 def minute_of_day(time: Column) -> Column:
-    """Minutes since midnight of an 'HH:MM[:SS]' string, NULL if it is not one."""
-    hours = F.split_part(time, F.lit(":"), F.lit(1)).try_cast("int")
-    minutes = F.split_part(time, F.lit(":"), F.lit(2)).try_cast("int")
-    return hours * 60 + minutes
+    """Minutes since midnight of an 'HH:MM[:SS]' string.
+
+    NULL stays NULL. Any other text stops the job: as NULL it would pass as a
+    reading of no time of day.
+    """
+    proper = time.rlike(r"^\s*([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?\s*$")
+    hours = F.trim(F.split_part(time, F.lit(":"), F.lit(1))).try_cast("int")
+    minutes = F.trim(F.split_part(time, F.lit(":"), F.lit(2))).try_cast("int")
+    odd = F.raise_error(F.concat(F.lit("not a time of day: "), time)).cast("int")
+    return F.when(time.isNull() | proper, hours * 60 + minutes).otherwise(odd)
 
 
 def time_bucket(time: Column, p: Params = DEFAULTS) -> Column:

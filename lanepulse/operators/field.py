@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,24 @@ CELL = ["corridor_id", "cx", "cy"]
 MIDPOINT = ["corridor_id", "mid_lon", "mid_lat"]
 
 
-def _spots(sites: DataFrame, reading: Column, width: float, p: Params) -> DataFrame:
+def _one_per_site(sites: DataFrame, reading: Column, by: list[str]) -> DataFrame:
+    """The columns a field needs; a second row of a site stops the job."""
+    row = F.struct("corridor_id", "lon", "lat", reading.alias("reading"))
+    merged = sites.groupBy(*by, "site_id").agg(
+        F.any_value(row).alias("row"), F.count(F.lit(1)).alias("n")
+    )
+    twice = F.raise_error(F.lit("a site has several readings: name what tells them apart in `by`"))
+    one = F.when(F.col("n") == 1, F.col("row")).otherwise(twice.cast(merged.schema["row"].dataType))
+    return merged.withColumn("row", one).select(*by, "site_id", "row.*")
+
+
+def _spots(sites: DataFrame, by: list[str], width: float, p: Params) -> DataFrame:
     """Readings per corridor and position, in each cell from which they are asked for."""
+    reading = F.col("reading")
     return (
         sites.where(reading.isNotNull() & F.col("corridor_id").isNotNull())
         .groupBy(
+            *by,
             "corridor_id",
             x_km(F.col("lon"), p).alias("sx"),
             y_km(F.col("lat"), p).alias("sy"),
@@ -47,7 +62,7 @@ def _spots(sites: DataFrame, reading: Column, width: float, p: Params) -> DataFr
             {"gx": grid_cell(F.col("sx"), width), "gy": grid_cell(F.col("sy"), width)}
         )
         .withColumn("c", F.explode(neighbour_cells("gx", "gy")))
-        .select("corridor_id", "c.cx", "c.cy", "sx", "sy", "v", "n", "first_id", "first_v")
+        .select(*by, "corridor_id", "c.cx", "c.cy", "sx", "sy", "v", "n", "first_id", "first_v")
     )
 
 
@@ -57,6 +72,7 @@ def street_field(
     column: str,
     *,
     mode: str = BLEND,
+    by: Sequence[str] = (),
     p: Params = DEFAULTS,
 ) -> DataFrame:
     """All chunks with `value` (NULL if nothing reaches them) and `support`.
@@ -66,29 +82,37 @@ def street_field(
     to the site. Midpoints and spots meet on corridor and cell, so a long
     corridor is not paired with all of its sites, and what stands or lies at one
     point is worked out once.
+
+    `by` names columns of `sites` that tell slices apart, such as a period. Each
+    slice is then a field of its own over the chunks of corridors it has sites on.
     """
     if mode not in REACH_MODELS:
-        raise ValueError(f"unknown reach model {mode!r}, expected one of {REACH_MODELS}")
+        raise ValueError(f"{mode!r} names no way to reach a chunk; there are {REACH_MODELS}")
     reach = p.street_stub_km if mode == STUB else p.street_cutoff_km
     width = reach * CELL_MARGIN
-    spots = stage(_spots(sites, F.col(column).cast("double"), width, p), "spots")
+    by = list(by)
+    readings = _one_per_site(sites, F.col(column).try_cast("double"), by)
+    spots = stage(_spots(readings, by, width, p), "spots")
+    cell, midpoint = [*by, *CELL], [*by, *MIDPOINT]
+    if by:
+        chunks = chunks.join(spots.select(*by, "corridor_id").distinct(), "corridor_id")
 
     placed = (
-        chunks.select(*MIDPOINT)
+        chunks.select(*midpoint)
         .withColumns({"mx": x_km(F.col("mid_lon"), p), "my": y_km(F.col("mid_lat"), p)})
         .withColumns({"cx": grid_cell(F.col("mx"), width), "cy": grid_cell(F.col("my"), width)})
     )
     apart = distance(F.col("mx"), F.col("my"), F.col("sx"), F.col("sy"))
 
     def reached(midpoints: DataFrame) -> DataFrame:
-        pairs = cell_join(midpoints, spots, CELL).withColumn("d", apart)
+        pairs = cell_join(midpoints, spots, cell).withColumn("d", apart)
         return pairs.where(F.col("d") <= reach)
 
     if mode == BLEND:
         weight = gaussian(F.col("d"), p.street_bandwidth_km)
         support = F.sum(weight * F.col("n"))
         value = F.sum(weight * F.col("v")) / support
-        found = reached(placed).groupBy(*MIDPOINT).agg(
+        found = reached(placed).groupBy(*midpoint).agg(
             support.alias("support"), value.alias("value")
         )
     else:
@@ -98,12 +122,12 @@ def street_field(
         found = (
             reached(gaps)
             .where(F.col("d") == F.col("gap"))
-            .groupBy(*MIDPOINT, "gap")
+            .groupBy(*midpoint, "gap")
             .agg(F.min_by("first_v", "first_id").alias("value"))
             .withColumn("support", gaussian(F.col("gap"), p.street_bandwidth_km))
         )
     supported = F.col("support") > 0
-    return chunks.join(found, MIDPOINT, "left").select(
+    return chunks.join(found, midpoint, "left").select(
         *chunks.columns,
         F.when(supported, F.col("value")).alias("value"),
         F.coalesce("support", F.lit(0.0)).alias("support"),

@@ -38,6 +38,14 @@ def aggregate_per_site(
     if is_small(lookup):
         numbered = frame.join(F.broadcast(lookup), SITE_KEY, "left").drop(*SITE_KEY)
         return aggregate(numbered, ["site_id"])
+    # An incomplete key matches no site; such rows share one cell on this side too.
+    complete = F.lit(True)
+    for name in SITE_KEY:
+        complete = complete & F.col(name).isNotNull()
+    frame = frame.withColumn("complete", complete)
+    frame = frame.withColumns(
+        {name: F.when(F.col("complete"), F.col(name)) for name in SITE_KEY}
+    ).drop("complete")
     return aggregate(frame, SITE_KEY).join(lookup, SITE_KEY, "left").drop(*SITE_KEY)
 
 

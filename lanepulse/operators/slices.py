@@ -182,12 +182,16 @@ def headline(
     whole_day = profile.agg(F.try_divide(F.sum("speed_sum"), F.sum("samples")).alias("v"))
     total = sites.agg(F.count(F.lit(1)).alias("n"))
     readings = F.sum("n_zero") + F.sum("n_moving")
-    slowest = F.min_by("street", F.struct("speed", "site_id"))
+    # Both figures from the same row, which has a speed; equal speeds go by site.
+    slowest = F.min_by(
+        F.struct("speed", "street"),
+        F.when(F.col("speed").isNotNull(), F.struct("speed", "site_id")),
+    )
     one = slice_.agg(
         F.try_divide(F.sum("speed_sum"), F.sum("samples")).alias("mean_speed"),
         F.count(F.lit(1)).alias("n_reporting"),
-        F.min("speed").alias("slowest_speed"),
-        slowest.alias("slowest_street"),
+        slowest["speed"].alias("slowest_speed"),
+        slowest["street"].alias("slowest_street"),
         (
             F.coalesce(F.sum("n_zero"), F.lit(0))
             / F.greatest(F.coalesce(readings, F.lit(0)), F.lit(1))

@@ -27,7 +27,8 @@ def surface_points(
     slice_: DataFrame, column: str, by: Sequence[str] = (), p: Params = DEFAULTS
 ) -> DataFrame:
     """Value sum and count per position; sensors at one spot share their weights."""
-    value = F.col(column).cast("double")
+    # A text that is no number is no value.
+    value = F.col(column).try_cast("double")
     return (
         slice_.where(value.isNotNull())
         .groupBy(*by, x_km(F.col("lon"), p).alias("sx"), y_km(F.col("lat"), p).alias("sy"))

@@ -359,7 +359,8 @@ SELECT a, b, CASE WHEN side = 0 THEN alo ELSE i + n END, CASE WHEN side = 0 THEN
 FROM (SELECT *, row_number() OVER (PARTITION BY a, b, alo, blo ORDER BY n DESC, i, j) AS r
       FROM (SELECT a, b, alo, ahi, blo, bhi, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
                    CAST(n AS INTEGER) AS n
-            FROM block, range(0, 24) ri(i), range(0, 24) rj(j), range(1, 24) rn(n)
+            FROM block, unnest(range(alo, ahi)) ri(i), unnest(range(blo, bhi)) rj(j),
+                 unnest(range(1, least(ahi - i, bhi - j) + 1)) rn(n)
             WHERE i >= alo AND i + n <= ahi AND j >= blo AND j + n <= bhi
               AND a[i + 1 : i + n] = b[j + 1 : j + n]))
 CROSS JOIN (VALUES (0), (1)) sides(side)

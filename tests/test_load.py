@@ -312,3 +312,31 @@ def test_slice_export_file(spark, tmp_path):
     write_slice_csv(export, str(tmp_path / "csv"))
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert back.columns == ["street", "speed"] and back.count() == 3
+
+
+def test_times_that_are_none_stop_the_job(spark):
+    from lanepulse.functions.clock import time_bucket
+
+    good = spark.createDataFrame([("07:05",), ("23:59:59",), (" 0:00 ",), (None,)], "time string")
+    assert [r[0] for r in good.select(time_bucket(F.col("time"))).collect()] == [14, 47, 0, None]
+    for text in ("7.05", "07:10 PM", "25:99:00"):
+        with pytest.raises(Exception, match="not a time of day"):
+            spark.createDataFrame([(text,)], "time string").select(time_bucket(F.col("time"))).collect()
+
+
+def test_cells_are_the_same_on_both_sides_of_the_size_check(spark, monkeypatch):
+    from lanepulse.operators import cleaning, sites
+
+    rows = [(1, 1, "2024-01-01", "07:00", s, "b", "c", -34.9, -56.2, 10.0) for s in ("a", "a", None, None)]
+    rows += [(1, 1, "2024-01-01", "07:10", None, None, "c", -34.9, -56.1, 20.0)]
+    frame = spark.createDataFrame(
+        rows, "detector_id long, lane int, date string, time string, street string, from_street string, "
+        "to_street string, lat double, lon double, speed double"
+    )
+    numbered = sites.number_sites(frame.where("street is not null"))
+    want = sorted(map(tuple, cleaning.bucket_cells(frame, numbered).collect()), key=repr)
+    monkeypatch.setattr(sites, "is_small", lambda _: False)
+    order = cleaning.bucket_cells(frame, numbered)
+    monkeypatch.undo()
+    columns = cleaning.bucket_cells(frame, numbered).columns
+    assert sorted(map(tuple, order.select(*columns).collect()), key=repr) == want

@@ -341,7 +341,7 @@ def test_nearest_tie_goes_to_the_first_site(spark):
 
 def test_unknown_reach_model(spark, city):
     chunks, sites, _ = city
-    with pytest.raises(ValueError, match="unknown reach model 'far'"):
+    with pytest.raises(ValueError, match="'far' names no way"):
         field.street_field(chunks, sites, "speed", mode="far")
 
 
@@ -487,3 +487,28 @@ def test_dense_ids_have_no_gaps(spark, rows_per_slice):
     got = [(r.x, r.y) for r in numbered.orderBy("id").collect()]
     assert got == sorted(values, key=lambda v: (v[0] is None, v[0] or 0, v[1]))
     assert [r.id for r in numbered.orderBy("id").collect()] == list(range(5, 5 + len(values)))
+
+
+def test_field_of_periods_is_one_field_each(spark, city):
+    chunks, _, _ = city
+    corridor, lon, lat = chunks.select("corridor_id", "mid_lon", "mid_lat").orderBy("corridor_id").first()
+    rows = [("a", 1, corridor, lon, lat, "10"), ("b", 1, corridor, lon, lat, "50"), ("b", 2, corridor, lon, lat, "x")]
+    sites = spark.createDataFrame(rows, "period string, site_id long, corridor_id long, lon double, lat double, speed string")
+    for mode in ("blend", "nearest", "stub"):
+        got = field.street_field(chunks, sites, "speed", mode=mode, by=["period"]).where("value is not null")
+        alone = {
+            k: field.street_field(chunks, sites.where(f"period = '{k}'"), "speed", mode=mode)
+            .where("value is not null").select("mid_lon", "mid_lat", "value", "support").collect()
+            for k in ("a", "b")
+        }
+        for k, want in alone.items():
+            mine = got.where(f"period = '{k}'").select("mid_lon", "mid_lat", "value", "support").collect()
+            assert want and sorted(mine) == sorted(want)
+            assert {round(r["value"], 9) for r in mine} == {10.0 if k == "a" else 50.0}
+    with pytest.raises(Exception, match="several readings"):
+        field.street_field(chunks, sites, "speed").collect()
+
+
+def test_text_that_is_no_number_is_no_value(spark):
+    rows = spark.createDataFrame([(-56.2, -34.9, "7"), (-56.2, -34.9, "x")], "lon double, lat double, speed string")
+    assert surface.surface_points(rows, "speed").select("v", "n").collect() == [(7.0, 1)]
