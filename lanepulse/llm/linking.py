@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanepulse.joins import small_side
 from lanepulse.llm import kernels as K
+from lanepulse.llm.common import lookup
 from lanepulse.operators.roads import component_labels
 from lanepulse.staging import stage
 
@@ -204,9 +204,9 @@ def linked_components(
     )
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stage(shared, "shared-bands")
-    members = stage(spread.join(small_side(shared), "band"), "band-members")
+    members = stage(spread.join(lookup(shared), "band"), "band-members")
     # A text that many are similar to shares the most bands with the most texts.
-    weights = small_side(stage(members.groupBy("node").agg(F.sum("n").alias("weight")), "candidates"))
+    weights = lookup(stage(members.groupBy("node").agg(F.sum("n").alias("weight")), "candidates"))
     nodes = weights.select("node")
     texts = stage(texts.join(nodes, "node", "left_semi"), "candidate-texts")
     sigs = stage(items.select("node", "sig", "bands").join(nodes, "node", "left_semi"), "candidate-signatures")
@@ -216,7 +216,7 @@ def linked_components(
     progress, round_no = True, 0
     while True:
         current = members if labels is None else members.join(
-            small_side(labels), "node", "left"
+            lookup(labels), "node", "left"
         )
         label = F.col("node") if labels is None else F.coalesce("label", "node")
         current = current.join(weights, "node").select("band", "at", "n", "node", "weight", label.alias("label"))
@@ -264,7 +264,7 @@ def linked_components(
         if last and refused is not None:
             pairs = pairs.join(refused, ["hi", "lo"], "left_anti")
         pairs = stage(pairs, "proposals")
-        checked = stage(_check(small_side(pairs), texts, size, threshold), "checked-pairs")
+        checked = stage(_check(lookup(pairs), texts, size, threshold), "checked-pairs")
         found = checked.where("linked").select("hi", "lo")
         counts = checked.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.col("linked").cast("int")).alias("yes")

@@ -13,8 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanepulse.joins import small_side
-from lanepulse.llm.common import keyed, keyed_rows
+from lanepulse.llm.common import keyed, keyed_rows, lookup
 from lanepulse.llm.linking import SIGNED, linked_components, signed
 from lanepulse.staging import stage
 
@@ -57,7 +56,7 @@ def first_of_groups(
     """The rows of `docs`, all columns, that have the smallest key of their group."""
     rows = keyed_rows(docs, id_column, text_column)
     groups = grouped(rows.select("key", "id", "text"), size=size, threshold=threshold)
-    kept = small_side(stage(groups.where("key = group_key").select("key"), "kept-keys"))
+    kept = lookup(stage(groups.where("key = group_key").select("key"), "kept-keys"))
     return rows.join(kept, "key", "left_semi").select("row.*")
 
 
@@ -66,7 +65,7 @@ def grouped(rows: DataFrame, *, size: int, threshold: int) -> DataFrame:
     signs = stage(rows.select("key", "text").mapInArrow(_sign(size), SIGNED), "signatures")
     firsts = signs.where("name is not null").groupBy("name").agg(F.min("node").alias("first"))
     firsts = stage(firsts, "set-firsts")
-    heads = small_side(firsts.select(F.col("first").alias("node")))
+    heads = lookup(firsts.select(F.col("first").alias("node")))
     items = signs.select("node", "sig", "bands").join(heads, "node", "left_semi")
     texts = rows.select(F.col("key").alias("node"), "text")
     labels = linked_components(

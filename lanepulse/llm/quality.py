@@ -88,8 +88,10 @@ class Machine:
         self.centre, self.scale = centre, scale
 
     def _design(self, words, stats):
-        scaled = np.clip((stats - self.centre) / self.scale, -3, 3) / np.float32(np.sqrt(STATS))
-        return np.concatenate([words, scaled], axis=1)
+        return np.concatenate([words, self._scaled(stats)], axis=1)
+
+    def _scaled(self, stats):
+        return np.clip((stats - self.centre) / self.scale, -3, 3) / np.float32(np.sqrt(STATS))
 
     def score(self, words, stats) -> np.ndarray:
         x = self._design(words, stats)
@@ -99,8 +101,12 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @classmethod
-    def fit(cls, words, stats, labels, epochs: int = EPOCHS, seed: int = 5) -> Machine:
-        """Full-batch logistic loss by adaptive moments; the same input gives the same weights."""
+    def fit(cls, x, labels, epochs: int = EPOCHS, seed: int = 5) -> Machine:
+        """Full-batch logistic loss by adaptive moments; the same input gives the same weights.
+
+        `x` has word weights and then statistics, which are scaled in place.
+        """
+        stats = x[:, BUCKETS:].copy()
         width = BUCKETS + STATS
         rng = np.random.default_rng(seed)
         share = (labels.sum() + 1) / (len(labels) + 2)
@@ -111,8 +117,9 @@ class Machine:
             np.maximum(stats.std(0), 1e-4) if len(stats) else np.ones(STATS, np.float32),
         )
         if not len(labels):
+            model.factors[:] = 0
             return model
-        x = model._design(words, stats)
+        x[:, BUCKETS:] = model._scaled(stats)
         squares = x**2
         state = [np.zeros_like(p) for p in (model.linear, model.factors) for _ in range(2)]
         bias_state = [0.0, 0.0]
@@ -182,10 +189,13 @@ def fit_quality(
     found = rows.select("text", "label").mapInArrow(_featured, _FEATURES).collect()
     found = sorted(found, key=lambda r: (bytes(r["stats"]), bytes(r["words"]), r["label"]))
     n = len(found)
-    words = np.frombuffer(b"".join(r["words"] for r in found), np.float16).astype(np.float32)
-    stats = np.frombuffer(b"".join(r["stats"] for r in found), np.float32)
+    x = np.empty((n, BUCKETS + STATS), np.float32)
+    for k, row in enumerate(found):
+        x[k, :BUCKETS] = np.frombuffer(row["words"], np.float16)
+        x[k, BUCKETS:] = np.frombuffer(row["stats"], np.float32)
     truth = np.array([r["label"] for r in found], np.float32)
-    return Machine.fit(words.reshape(n, BUCKETS), stats.reshape(n, STATS), truth)
+    del found, row
+    return Machine.fit(x, truth)
 
 
 def _scored(model: Machine):

@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanepulse.joins import small_side
-from lanepulse.llm.common import keyed, keyed_rows
+from lanepulse.llm.common import keyed, keyed_rows, lookup
 from lanepulse.llm.linking import SIGNED, linked_components, signed
 from lanepulse.staging import stage
 
@@ -93,7 +92,7 @@ def repeated_lines(
             F.min("node").alias("first"), F.count(F.lit(1)).alias("n")
         ), "paragraph-firsts",
     )
-    heads = small_side(firsts.select(F.col("first").alias("node")))
+    heads = lookup(firsts.select(F.col("first").alias("node")))
     items = signs.select("node", "sig", "bands").join(heads, "node", "left_semi")
     labels = linked_components(
         items, scan.mapInArrow(_lines(min_words), "node long, text string"),
@@ -102,11 +101,11 @@ def repeated_lines(
     if labels is None:
         heads = firsts.where("n > 1").select("name", F.col("first").alias("label"))
     else:
-        labels = small_side(labels.select(F.col("node").alias("first"), "label"))
+        labels = lookup(labels.select(F.col("node").alias("first"), "label"))
         heads = firsts.join(labels, "first", "left").where("n > 1 or label is not null").select(
             "name", F.coalesce("label", "first").alias("label")
         )
-    placed = signs.select("node", "name").join(small_side(stage(heads, "repeated-names")), "name")
+    placed = signs.select("node", "name").join(lookup(stage(heads, "repeated-names")), "name")
     mask = F.lit((1 << LINE_BITS) - 1).cast("bigint")
     return placed.where("node <> label").groupBy(
         F.shiftright("node", LINE_BITS).alias("key")
@@ -147,7 +146,7 @@ def remove_paragraphs(
     empty result. The lines past the 16 millionth of a document count as one.
     """
     rows = keyed(docs, id_column, text_column, bits=63 - LINE_BITS)
-    gone = small_side(stage(repeated_lines(rows, **how), "repeated-lines"))
+    gone = lookup(stage(repeated_lines(rows, **how), "repeated-lines"))
     schema = (
         "key long, id long, n_paragraphs long, n_removed long, removed array<int>, "
         "kept_sha256 string, kept string"
@@ -160,7 +159,7 @@ def with_kept_text(
 ) -> DataFrame:
     """All rows and columns of `docs`, with the text that stays and its length."""
     rows = keyed_rows(docs, id_column, text_column, bits=63 - LINE_BITS)
-    gone = small_side(stage(repeated_lines(rows, **how), "repeated-lines"))
+    gone = lookup(stage(repeated_lines(rows, **how), "repeated-lines"))
     numbered = F.transform(F.split("text", "\n", 1 << LINE_BITS), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     kept = F.filter(numbered, lambda s: ~F.array_contains("lines", s["i"]))
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(
