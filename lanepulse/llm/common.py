@@ -5,12 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanepulse.joins import measured_bytes
 from lanepulse.operators.numbering import dense_ids
 
-# A job of many joins keeps several broadcasts at once, so each has to be small.
-LOOKUP_BYTES = 8 * 1024 * 1024
-
 
 def keyed(rows: DataFrame, id_column: str, text_column: str, bits: int | None = None) -> DataFrame:
     """(key, id, text) of every row; `key` is unique and follows the order of ids.
@@ -41,14 +37,6 @@ def keyed_rows(docs: DataFrame, id_column: str, text_column: str, bits: int | No
     return rows.select("key", "id", F.col("text.text").alias("body"), "text.row").withColumnRenamed("body", "text")
 
 
-def lookup(df: DataFrame) -> DataFrame:
-    """Staged `df` as a side to join: broadcast when its measured size is small, else merged.
-
-    Left unhinted, a large table that compresses well would still be broadcast.
-    """
-    return F.broadcast(df) if measured_bytes(df) <= LOOKUP_BYTES else df.hint("merge")
-
-
 def text_bytes(rows: DataFrame, column: str = "text") -> int:
     return rows.agg(F.sum(F.octet_length(F.col(column)).cast("bigint")).alias("b")).first()["b"] or 0
 
