@@ -88,8 +88,8 @@ def speed_histogram(
 
 
 def load_report(cells: DataFrame) -> DataFrame:
-    """Readings per class with their shares, in one row."""
-    totals = cells.agg(
+    """Readings per class with their shares, in one row (per period, if there are several)."""
+    totals = cells.groupBy(*period_of(cells)).agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS],
         # Readings whose street columns are incomplete never reach a site.
         F.coalesce(

@@ -49,7 +49,7 @@ def dead_lane_report(health: DataFrame) -> DataFrame:
     def dropped(counter: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("is_dead") & named, F.col(counter))), F.lit(0))
 
-    return health.agg(
+    return health.groupBy(*period_of(health)).agg(
         F.count_if("is_dead").alias("n_dead_lanes"),
         F.count(F.lit(1)).alias("n_lanes"),
         dropped("n_zero").alias("dead_zero_readings"),

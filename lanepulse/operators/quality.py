@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanepulse.params import DEFAULTS, Params
+from lanepulse.params import DEFAULTS, Params, period_of
 
 
 def flag_sites(detectors: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -35,9 +35,9 @@ def flag_sites(detectors: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def quality_counters(sites: DataFrame) -> DataFrame:
-    """How many sites each rule leaves out, in one row."""
+    """How many sites each rule leaves out, in one row (per period, if there are several)."""
     usable = F.col("is_usable")
-    return sites.agg(
+    return sites.groupBy(*period_of(sites)).agg(
         F.count(F.lit(1)).alias("n_sites"),
         F.count_if(~F.col("is_live")).alias("n_flatlined"),
         F.count_if(usable & ~F.col("has_reference")).alias("n_without_reference"),
@@ -61,6 +61,17 @@ def key_check(frame: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def one_per_key(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """`frame` as it is, keys first; a repeated key stops the job that reads it."""
+    rest = [c for c in frame.columns if c not in keys]
+    merged = frame.groupBy(*keys).agg(
+        F.any_value(F.struct(*rest)).alias("row"), F.count(F.lit(1)).alias("n")
+    )
+    twice = F.raise_error(F.lit(f"several rows for one value of {', '.join(keys)}"))
+    one = F.when(F.col("n") == 1, F.col("row")).otherwise(twice.cast(merged.schema["row"].dataType))
+    return merged.select(*keys, one.alias("row")).select(*keys, "row.*")
+
+
 def repeated_keys(frame: DataFrame, key: list[str]) -> DataFrame:
     return frame.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

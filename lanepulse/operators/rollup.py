@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lanepulse.functions.clock import day_of_week
 from lanepulse.joins import small_side
 from lanepulse.operators.lanes import live_lanes, n_valid
-from lanepulse.operators.sites import streets_per_point
 from lanepulse.params import DEFAULTS, LANE_KEY, SITE_KEY, Params, period_of
 
 
@@ -97,12 +96,14 @@ def detectors(
     health: DataFrame,
     histogram: DataFrame,
     facts: DataFrame,
+    claims: DataFrame,
     p: Params = DEFAULTS,
 ) -> DataFrame:
     """One row per site that reported anything valid, with its lifetime figures.
 
     Each figure is aggregated to one row per site first, so every join here is
     between site-sized tables. A site whose lanes are all dead stays, with no mean.
+    `claims` are the streets per position, in each period where there are several.
     """
     keys = [*period_of(lanes), "site_id"]
     per_site = lanes.groupBy(*keys).agg(F.sum("n_missing").alias("n_missing"))
@@ -112,7 +113,7 @@ def detectors(
         # `dead` has a row for exactly the sites with a valid reading.
         per_site.join(dead, keys)
         .join(sites.select("site_id", *SITE_KEY), "site_id")
-        .join(streets_per_point(sites), ["lat", "lon"])
+        .join(claims, [*period_of(lanes), "lat", "lon"])
         .join(_live_profile(health), keys, "left")
         .join(free_flow(histogram, health, p), keys, "left")
         .join(day_night(facts, p), keys, "left")

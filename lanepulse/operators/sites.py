@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanepulse.joins import is_small
 from lanepulse.operators.numbering import dense_ids
-from lanepulse.params import DEFAULTS, SITE_KEY, Params
+from lanepulse.params import DEFAULTS, SITE_KEY, Params, period_of
 
 
 def number_sites(frame: DataFrame) -> DataFrame:
@@ -49,15 +49,16 @@ def aggregate_per_site(
     return aggregate(frame, SITE_KEY).join(lookup, SITE_KEY, "left").drop(*SITE_KEY)
 
 
-def streets_per_point(sites: DataFrame) -> DataFrame:
-    return sites.groupBy("lat", "lon").agg(
+def streets_per_point(frame: DataFrame) -> DataFrame:
+    """Streets that claim each position, of sites or of readings (then per period)."""
+    return frame.groupBy(*period_of(frame), "lat", "lon").agg(
         F.count_distinct("street").alias("streets_at_coord")
     )
 
 
 def placeholder_sites(detectors: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Number of sites at positions that too many streets claim."""
-    return detectors.agg(
+    """Number of sites at positions that too many streets claim, per period if there are several."""
+    return detectors.groupBy(*period_of(detectors)).agg(
         F.count_if(F.col("streets_at_coord") > p.max_streets_per_point).alias(
             "n_placeholder"
         )

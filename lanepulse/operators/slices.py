@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lanepulse.functions.clock import bucket_hour, bucket_label
 from lanepulse.functions.geo import clamp
+from lanepulse.operators.quality import one_per_key
 from lanepulse.params import DAY_SCOPES, DEFAULTS, Params, period_of
 
 
@@ -82,8 +83,11 @@ def site_slice(
     """One row per site for a slice, with its congestion and deviation.
 
     `by` names further fact columns to keep apart, for instance `bucket` for
-    every half hour of the day in one job.
+    every half hour of the day in one job. Facts and sites are both per period or
+    both over the whole input; a site with two rows stops the job.
     """
+    if period_of(facts) != period_of(sites):
+        raise ValueError("facts and sites must both have a period, or neither")
     floor = p.min_samples if min_samples is None else min_samples
     keys = [*period_of(facts), "site_id"]
     sums = (
@@ -96,7 +100,7 @@ def site_slice(
     if located_only:
         sites = sites.where("has_location")
     lost = 1 - F.try_divide(F.col("speed"), F.col("free_flow_speed"))
-    return sums.join(sites, keys).withColumns(
+    return sums.join(one_per_key(sites, keys), keys).withColumns(
         {
             # No figure, rather than zero, where the reference is too small.
             "congestion": F.when(F.col("has_reference"), clamp(lost, 0.0, 1.0)),

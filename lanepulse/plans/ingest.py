@@ -17,8 +17,9 @@ from lanepulse.operators.cleaning import (
     with_period,
 )
 from lanepulse.operators.lanes import dead_lane_report
-from lanepulse.operators.sites import number_sites, placeholder_sites
-from lanepulse.params import DEFAULTS, Params
+from lanepulse.operators.sites import number_sites, placeholder_sites, streets_per_point
+from lanepulse.joins import small_side
+from lanepulse.params import DEFAULTS, Params, period_of
 from lanepulse.sources.readings import read_readings
 from lanepulse.sources.tables import read_table, write_measurements, write_table
 from lanepulse.staging import stage
@@ -65,10 +66,16 @@ class Ingest:
 
     def detectors(self, facts: DataFrame | None = None) -> DataFrame:
         facts = self.measurements if facts is None else facts
+        # A name that a street had in another period does not count against it.
+        named = self.readings if period_of(self.readings) else self.sites
         return rollup.detectors(
-            self.sites, self.lanes, self.health, self.histogram, facts, self.p
+            self.sites, self.lanes, self.health, self.histogram, facts, streets_per_point(named), self.p
         )
 
+    def with_site_key(self, frame: DataFrame) -> DataFrame:
+        """`frame` with the id of its sites that stays the same over all loads."""
+        return frame.join(small_side(self.sites.select("site_id", "site_key")), "site_id")
+
 
 def build_tables(
     spark: SparkSession,
@@ -82,15 +89,31 @@ def build_tables(
     """Load CSVs, write `measurements` and `detectors` under `out`, return the reports.
 
     `period` (for instance the month of `date`) makes dead lanes and site
-    figures per period, and the fact table one folder per period.
+    figures per period, and both tables one folder per period. A load then replaces
+    the periods that it has rows for and keeps the others. `site_id` is a number within
+    one load, so join on (period, site_id); `site_key` is the same site in all loads.
+    The tables are returned whole, with the periods of earlier loads; load and lane
+    reports are about this load.
     """
     # Text is parsed once; the scans of the load read the typed copy.
     raw = stage(read_readings(spark, csv_paths, **csv_options), "readings")
     load = Ingest(raw, period, p)
-    write_measurements(load.measurements, f"{out}/measurements")
-    facts = read_table(spark, f"{out}/measurements", load.measurements.schema)
-    write_table(load.detectors(facts), f"{out}/detectors")
-    detectors = read_table(spark, f"{out}/detectors")
+    if period is None:
+        measured, keys = load.measurements, []
+    else:
+        measured, keys = load.with_site_key(load.measurements), period_of(load.readings)
+    write_measurements(measured, f"{out}/measurements")
+    facts = read_table(spark, f"{out}/measurements", measured.schema)
+    fresh = facts
+    if keys:
+        # Only the folders just written.
+        loaded = stage(load.lanes.select(*keys).distinct(), "periods")
+        fresh = facts.join(small_side(loaded), keys, "left_semi")
+    sites = load.detectors(fresh)
+    if keys:
+        sites = load.with_site_key(sites)
+    write_table(sites, f"{out}/detectors", keys)
+    detectors = read_table(spark, f"{out}/detectors", sites.schema)
     return {
         "measurements": facts,
         "detectors": detectors,

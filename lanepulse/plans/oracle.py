@@ -86,6 +86,9 @@ def _keyed(period: str) -> dict[str, str]:
         "placed": f"""
 SELECT site_id, {f"{period} AS period," if period else ""} good.* FROM good
 JOIN site USING (lat, lon, street, from_street, to_street)""",
+        "claims": f"""
+SELECT {f"{period} AS period," if period else ""} lat, lon, count(DISTINCT street) AS streets_at_coord
+FROM good GROUP BY ALL""",
         "lane_state": f"""
 SELECT {per} site_id, detector_id, lane, n_moving, mean_speed,
        n_moving = 0 OR mean_speed < 3 AS is_dead
@@ -128,7 +131,7 @@ JOIN (SELECT {per} site_id, count(*) FILTER (is_dead) AS n_dead_lanes
       FROM lane_state GROUP BY {per} site_id) USING (site_id)
 JOIN (SELECT {per} site_id, count(*) FILTER (speed IS NULL) AS n_missing
       FROM placed GROUP BY {per} site_id) USING ({per} site_id)
-JOIN claims USING (lat, lon)
+JOIN claims USING ({per} lat, lon)
 LEFT JOIN figures USING ({per} site_id)
 LEFT JOIN freeflow USING ({per} site_id)
 LEFT JOIN rhythm USING ({per} site_id)""",
@@ -139,8 +142,6 @@ _TABLES.update(_keyed(""))
 _WEEKLY = _keyed("strftime(date_trunc('week', date), '%Y-%m-%d')")
 _MONTHLY = _keyed("strftime(date, '%Y-%m')")
 
-_TABLES["claims"] = """
-SELECT lat, lon, count(DISTINCT street) AS streets_at_coord FROM site GROUP BY 1, 2"""
 
 # Sites whose weekday readings are all zero still have a row, without means.
 _TABLES["day_night_all"] = """

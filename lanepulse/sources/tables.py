@@ -10,9 +10,10 @@ from lanepulse.params import period_of
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Replace the table, or, of a table in folders, the folders that `df` has rows for."""
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     writer.parquet(path)
 
 

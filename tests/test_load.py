@@ -340,3 +340,50 @@ def test_cells_are_the_same_on_both_sides_of_the_size_check(spark, monkeypatch):
     monkeypatch.undo()
     columns = cleaning.bucket_cells(frame, numbered).columns
     assert sorted(map(tuple, order.select(*columns).collect()), key=repr) == want
+
+
+def test_months_loaded_one_by_one_equal_one_load(spark, tmp_path):
+    september = date(2026, 9, 1)
+    august = [reading(30.0), reading(20.0, street="M")]
+    # A new site that comes first in the order of keys.
+    later = [reading(50.0, day=september), reading(40.0, day=september, lat=-35.0, street="A new one")]
+    month = F.date_format("date", "yyyy-MM")
+
+    def load(rows, name, out):
+        write_readings_csv(spark.createDataFrame(rows, COLUMNS), str(tmp_path / name))
+        return build_tables(spark, str(tmp_path / name), str(tmp_path / out), period=month)
+
+    def rows(built, table):
+        frame = built[table].drop("site_id")
+        return sorted(map(repr, frame.select(*sorted(frame.columns)).collect()))
+
+    whole = load(august + later, "both", "whole")
+    load(august, "one", "apart")
+    apart = load(later, "two", "apart")
+    tables = ("measurements", "detectors")
+    want = [rows(whole, table) for table in tables]
+    assert [rows(apart, table) for table in tables] == want
+    # A month loaded again takes the place of its own files alone.
+    again = load(later, "three", "apart")
+    assert [rows(again, table) for table in tables] == want
+    pairs = again["measurements"].join(again["detectors"], ["period", "site_id"])
+    assert pairs.count() == 4 and pairs.where(
+        again["measurements"]["site_key"] != again["detectors"]["site_key"]).count() == 0
+
+
+def test_placeholders_and_reports_are_per_period(spark):
+    september = date(2026, 9, 1)
+    rows = [reading(30.0, street=s) for s in ("a", "b")] + [reading(30.0, street=s, day=september) for s in ("c", "d")]
+    assert {r.streets_at_coord for r in ingest(spark, rows).detectors().collect()} == {4}
+    split = ingest(spark, rows, F.date_format("date", "yyyy-MM"))
+    sites = quality.flag_sites(split.detectors())
+    assert {r.streets_at_coord for r in sites.collect()} == {2}
+    assert {(r.period, r.n_sites) for r in quality.quality_counters(sites).collect()} == {("2026-08", 2), ("2026-09", 2)}
+    assert {(r.period, r.n_rows) for r in cleaning.load_report(split.cells).collect()} == {("2026-08", 2), ("2026-09", 2)}
+
+
+def test_a_repeated_key_stops_the_job(spark):
+    frame = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    assert quality.one_per_key(frame.where("v > 'a'"), ["k"]).count() == 2
+    with pytest.raises(Exception, match="several rows for one value of k"):
+        quality.one_per_key(frame, ["k"]).collect()
