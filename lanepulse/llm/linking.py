@@ -5,9 +5,11 @@ each round lets every text propose one partner: in each of its bands a leader is
 looked up, in turn the member that shares most with others and one drawn by hash, and
 the leader of the best estimate is proposed. The
 proposals are checked on the full shingle sets, and bands whose members are all in
-one component take no further part. When a round links little, the pairs left over
-(same band, different components, not yet refused) are checked one by one, so no
-link is lost; their number is that of the real doubts, not of the pairs of a group.
+one component take no further part. When a round links little, what is left over
+(same band, different components) is compared in blocks of bounded size: signatures
+first, then the full sets of those that look similar, each text sent once to a block
+that doubts it. So no link is lost, and pairs are never rows: a block gives at most one
+link less than it has members.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from lanepulse.staging import stage
 
 BITS = 4
 NIBBLES = 16
-# Members of a band that one task compares with those outside its main component.
-PART_ROWS = 4000
+# A side of a block holds about so many members, and no more than so many shingles.
+PART_ROWS = 2000
+PART_SHINGLES = 1 << 22
 # Rounds of proposals go on while one in so many links.
 PROGRESS = 5
 SIGNED = "node long, n_shingles long, name binary, sig array<long>, bands array<long>"
@@ -134,58 +137,168 @@ def _check(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> Dat
     return both.mapInArrow(_verified(size, threshold), "hi long, lo long, linked boolean")
 
 
-def _left_over(count: int, floor: float):
-    """Sorted band members to the pairs of different components that look similar enough.
+_BLOCK = ["band", "x", "y"]
+_DOUBTS = "band long, x int, y int, node long, mates binary"
 
-    A pair is named in the first band it shares; two members that are both away from
-    the leader's component meet in every part and are named in part 0.
+
+def _groups(batches):
+    """Tables of the rows of one block each; `batches` are sorted by block."""
+    kept = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if kept is None else pa.concat_tables([kept, rows])
+        if not rows.num_rows:
+            continue
+        change = np.zeros(rows.num_rows - 1, bool)
+        for name in _BLOCK:
+            values = rows[name].to_numpy()
+            change |= values[1:] != values[:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for lo, hi in zip(edges, edges[1:]):
+            yield rows.slice(lo, hi - lo)
+        kept = rows.slice(edges[-1])
+    if kept is not None:
+        yield kept
+
+
+def _doubts(count: int, floor: float):
+    """Members of blocks that look similar to one of another component, with their mates.
+
+    A pair is named in the first band it shares, by one of its two members.
     """
     longs = -(-count // NIBBLES)
     ones = np.uint64(0x1111111111111111)
+    schema = pa.schema([("band", pa.int64()), ("x", pa.int32()), ("y", pa.int32()),
+                        ("node", pa.int64()), ("mates", pa.binary())])
 
-    def pairs(rows: pa.Table):
-        node, label = rows["node"].to_numpy(), rows["label"].to_numpy()
-        away, part, at = rows["away"].to_numpy(zero_copy_only=False), rows["part"][0].as_py(), rows["at"][0].as_py()
-        order = np.argsort(~away, kind="stable")
-        lists = lambda name: rows[name].combine_chunks().flatten().to_numpy().reshape(len(node), -1)[order]
-        sig, bands = lists("sig").view(np.uint64)[:, :longs], lists("bands")
-        node, label, n_away = node[order], label[order], int(away.sum())
-        hi, lo = [], []
-        for i in range(n_away):
-            first = i + 1 if part == 0 else n_away
-            x = sig[first:] ^ sig[i]
-            x |= x >> np.uint64(2)
-            x |= x >> np.uint64(1)
-            equal = 1 - np.bitwise_count(x & ones).sum(axis=1) / count
-            like = np.flatnonzero(
-                ((equal - 1 / NIBBLES) / (1 - 1 / NIBBLES) >= floor) & (label[first:] != label[i])
-            ) + first
-            if at:
-                like = like[~(bands[like, :at] == bands[i, :at]).any(axis=1)]
-            hi.append(np.maximum(node[like], node[i]))
-            lo.append(np.minimum(node[like], node[i]))
-        none = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([none, *hi])), pa.array(np.concatenate([none, *lo]))], names=["hi", "lo"]
-        )
+    def run(batches):
+        for rows in _groups(batches):
+            node, label = rows["node"].to_numpy(), rows["label"].to_numpy()
+            band, x, y, at = (rows[c][0].as_py() for c in ("band", "x", "y", "at"))
+            lists = [rows[c].combine_chunks().flatten().to_numpy().reshape(len(node), -1) for c in ("sig", "bands")]
+            sig, bands = lists[0].view(np.uint64)[:, :longs], lists[1]
+            chunk = rows["chunk"].to_numpy()
+            one, two = np.flatnonzero(chunk == x), np.flatnonzero(chunk == y)
+            mates = {}
+            for k, i in enumerate(one):
+                others = two[k + 1 :] if x == y else two
+                d = sig[others] ^ sig[i]
+                d |= d >> np.uint64(2)
+                d |= d >> np.uint64(1)
+                equal = 1 - np.bitwise_count(d & ones).sum(axis=1) / count
+                like = others[
+                    ((equal - 1 / NIBBLES) / (1 - 1 / NIBBLES) >= floor) & (label[others] != label[i])
+                ]
+                if at:
+                    like = like[~(bands[like, :at] == bands[i, :at]).any(axis=1)]
+                if len(like):
+                    mates[i] = node[like].tobytes()
+                    for j in like:
+                        mates.setdefault(j, None)
+            n = len(mates)
+            if n:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([band] * n, pa.int64()), pa.array([x] * n, pa.int32()), pa.array([y] * n, pa.int32()),
+                     pa.array(node[list(mates)]), pa.array(list(mates.values()), pa.binary())], schema=schema,
+                )
+
+    return run
+
+
+def _settled(size: int, threshold: int):
+    """Blocks of doubtful members with their texts to links that connect all that link."""
+    schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64())])
 
     def run(batches):
-        kept = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if kept is None else pa.concat_tables([kept, rows])
-            band, part = rows["band"].to_numpy(), rows["part"].to_numpy()
-            starts = np.flatnonzero((band[1:] != band[:-1]) | (part[1:] != part[:-1])) + 1
-            edges = [0, *starts.tolist()]
-            for lo, hi in zip(edges, edges[1:]):
-                yield pairs(rows.slice(lo, hi - lo))
-            kept = rows.slice(edges[-1])
-        if kept is not None and kept.num_rows:
-            yield pairs(kept)
+        for rows in _groups(batches):
+            nodes = rows["node"].to_pylist()
+            place = {node: i for i, node in enumerate(nodes)}
+            data, offsets = K.flat(rows["text"].combine_chunks())
+            sets = []
+            for lo, hi, values, doc in K.shingle_sets(data, offsets, size):
+                cut = np.searchsorted(doc, np.arange(hi - lo + 1))
+                sets += [values[a:b] for a, b in zip(cut[:-1], cut[1:])]
+            above = list(range(len(nodes)))
+
+            def top(i):
+                while above[i] != i:
+                    above[i] = above[above[i]]
+                    i = above[i]
+                return i
+
+            his, los = [], []
+            for i, mates in enumerate(rows["mates"].to_pylist()):
+                for mate in np.frombuffer(mates or b"", np.int64).tolist():
+                    j = place[mate]
+                    a, b = sets[i], sets[j]
+                    if 100 * min(len(a), len(b)) < threshold * max(len(a), len(b)) or top(i) == top(j):
+                        continue
+                    both = np.concatenate([a, b])
+                    both.sort(kind="stable")
+                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if 100 * shared >= threshold * (len(both) - shared) and shared:
+                        above[top(i)] = top(j)
+                        his.append(max(nodes[i], mate))
+                        los.append(min(nodes[i], mate))
+            if his:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(his, pa.int64()), pa.array(los, pa.int64())], schema=schema
+                )
 
     return run
 
 
+def _leftover_links(
+    told: DataFrame, sigs: DataFrame, texts: DataFrame, *, size: int, threshold: int, count: int, floor: float
+) -> DataFrame:
+    """(hi, lo) that connect members of one band and different components.
+
+    Members outside the leader's component meet each other and the leader's. Both
+    kinds are cut into chunks, and a block is a pair of chunks: its size is bounded
+    however long the band or the texts.
+    """
+    wide = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    away = F.col("label") != F.col("leader_label")
+    told = told.join(sigs.select("node", "n_shingles"), "node").withColumn("away", away)
+    spared = F.lit(0).cast("bigint")
+
+    def chunks(kind: Column) -> Column:
+        rows = F.sum(kind.cast("bigint")) / F.lit(PART_ROWS)
+        shingles = F.sum(F.when(kind, F.col("n_shingles")).otherwise(spared)) / F.lit(PART_SHINGLES)
+        return F.greatest(F.ceil(rows), F.ceil(shingles)).cast("int")
+
+    cuts = stage(told.groupBy("band").agg(
+        chunks(F.col("away")).alias("aways"), chunks(~F.col("away")).alias("owns"),
+        F.sum(F.col("away").cast("int")).alias("n_away"),
+    ), "band-chunks")
+    drawn = F.xxhash64("node")
+    mine = F.when(F.col("away"), F.pmod(drawn, F.col("aways"))).otherwise(
+        F.col("aways") + F.pmod(drawn, F.col("owns"))
+    ).cast("int")
+    block = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    to_aways = F.transform(
+        F.sequence(F.lit(0), F.col("aways") - 1),
+        lambda c: block(F.least(c, F.col("chunk")), F.greatest(c, F.col("chunk"))),
+    )
+    to_owns = F.transform(F.sequence(F.lit(0), F.col("owns") - 1), lambda c: block(F.col("chunk"), F.col("aways") + c))
+    # One member away has only the leader's component to meet.
+    spots = F.when(F.col("away") & (F.col("n_away") > 1), F.concat(to_aways, to_owns)).when(
+        F.col("away"), to_owns
+    ).otherwise(to_aways)
+    spotted = told.join(small_side(cuts), "band").withColumn("chunk", mine).select(
+        "band", F.explode(spots).alias("block"), "chunk", "at", "node", "label"
+    ).select("band", "block.*", "chunk", "at", "node", "label")
+    dealt = spotted.join(sigs.drop("n_shingles"), "node").repartition(wide, *_BLOCK).sortWithinPartitions(*_BLOCK)
+    doubts = stage(
+        dealt.select(*_BLOCK, "chunk", "at", "node", "label", "sig", "bands").mapInArrow(
+            _doubts(count, floor), _DOUBTS
+        ), "doubts",
+    )
+    read = doubts.join(texts, "node").repartition(wide, *_BLOCK).sortWithinPartitions(*_BLOCK)
+    links = read.select(*_BLOCK, "node", "mates", "text").mapInArrow(_settled(size, threshold), "hi long, lo long")
+    return stage(links, "leftover-links")
+
+
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")]
 
@@ -195,7 +308,7 @@ def linked_components(
 ) -> DataFrame | None:
     """(node, label) of nodes linked with another; None if there is no link.
 
-    `items` has node, sig, bands with distinct sets; `texts` finds a node's text.
+    `items` has node, n_shingles, sig, bands with distinct sets; `texts` finds a node's text.
     Sets with 100 * intersection >= threshold * union are linked; candidates with an
     estimate under `floor` are not looked at. The label is the smallest node.
     """
@@ -209,9 +322,9 @@ def linked_components(
     weights = small_side(stage(members.groupBy("node").agg(F.sum("n").alias("weight")), "candidates"))
     nodes = weights.select("node")
     texts = stage(texts.join(nodes, "node", "left_semi"), "candidate-texts")
-    sigs = stage(items.select("node", "sig", "bands").join(nodes, "node", "left_semi"), "candidate-signatures")
+    signs = items.select("node", "n_shingles", "sig", "bands").join(nodes, "node", "left_semi")
+    sigs = stage(signs, "candidate-signatures")
 
-    spark = items.sparkSession
     links = refused = labels = None
     progress, round_no = True, 0
     while True:
@@ -231,38 +344,26 @@ def linked_components(
             "band", "at", "n", "node", "label", F.col("leader.node").alias("leader"),
             F.col("leader.label").alias("leader_label"),
         )
-        last = not progress
-        if last:
-            # What is left: members of a band outside its leader's component, with each
-            # other and with the rest. A long band is dealt over several parts.
-            parts = F.ceil(F.col("n") / F.lit(PART_ROWS)).cast("int")
-            away = F.col("label") != F.col("leader_label")
-            own = F.pmod(F.xxhash64("node"), parts)
-            spots = F.when(away, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own.cast("int")))
-            spotted = told.select(
-                "band", F.explode(spots).alias("part"), "at", "node", "label", away.alias("away")
-            ).join(sigs, "node")
-            wide = spark.conf.get("spark.sql.shuffle.partitions")
-            dealt = spotted.repartition(int(wide), "band", "part").sortWithinPartitions("band", "part")
-            pairs = dealt.select("band", "part", "at", "node", "label", "away", "sig", "bands").mapInArrow(
-                _left_over(count, floor), "hi long, lo long"
+        if not progress:
+            found = _leftover_links(
+                told, sigs, texts, size=size, threshold=threshold, count=count, floor=floor
             )
-        else:
-            pairs = told.where("label <> leader_label").select("node", "leader").distinct()
-            theirs = sigs.select(F.col("node").alias("leader"), F.col("sig").alias("leader_sig"))
-            own = sigs.select("node", "sig")
-            scored = pairs.join(own, "node").join(theirs, "leader").withColumn(
-                "score", estimate(F.col("sig"), F.col("leader_sig"), count)
-            ).where(F.col("score") >= floor)
-            if refused is not None:
-                scored = scored.select(*_ordered(F.col("node"), F.col("leader")), "node", "leader", "score").join(
-                    refused, ["hi", "lo"], "left_anti"
-                )
-            pairs = scored.groupBy("node").agg(
-                F.max_by("leader", F.struct("score", "leader")).alias("leader")
-            ).select(*_ordered(F.col("node"), F.col("leader"))).distinct()
-        if last and refused is not None:
-            pairs = pairs.join(refused, ["hi", "lo"], "left_anti")
+            if found.isEmpty():
+                return labels
+            return component_labels(found if links is None else links.unionByName(found))
+        pairs = told.where("label <> leader_label").select("node", "leader").distinct()
+        theirs = sigs.select(F.col("node").alias("leader"), F.col("sig").alias("leader_sig"))
+        own = sigs.select("node", "sig")
+        scored = pairs.join(own, "node").join(theirs, "leader").withColumn(
+            "score", estimate(F.col("sig"), F.col("leader_sig"), count)
+        ).where(F.col("score") >= floor)
+        if refused is not None:
+            scored = scored.select(*_ordered(F.col("node"), F.col("leader")), "node", "leader", "score").join(
+                refused, ["hi", "lo"], "left_anti"
+            )
+        pairs = scored.groupBy("node").agg(
+            F.max_by("leader", F.struct("score", "leader")).alias("leader")
+        ).select(*_ordered(F.col("node"), F.col("leader"))).distinct()
         pairs = stage(pairs, "proposals")
         checked = stage(_check(small_side(pairs), texts, size, threshold), "checked-pairs")
         found = checked.where("linked").select("hi", "lo")
@@ -274,8 +375,6 @@ def linked_components(
             labels = component_labels(links)
         no = checked.where("not linked").select("hi", "lo")
         refused = no if refused is None else refused.unionByName(no)
-        if last:
-            return labels
         # Go on with proposals while enough of them link; they cost one check a node.
         progress = (counts["yes"] or 0) * PROGRESS >= max(counts["n"], 1)
         round_no += 1

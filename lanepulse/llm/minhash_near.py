@@ -67,7 +67,7 @@ def grouped(rows: DataFrame, *, size: int, threshold: int) -> DataFrame:
     firsts = signs.where("name is not null").groupBy("name").agg(F.min("node").alias("first"))
     firsts = stage(firsts, "set-firsts")
     heads = small_side(firsts.select(F.col("first").alias("node")))
-    items = signs.select("node", "sig", "bands").join(heads, "node", "left_semi")
+    items = signs.select("node", "n_shingles", "sig", "bands").join(heads, "node", "left_semi")
     texts = rows.select(F.col("key").alias("node"), "text")
     labels = linked_components(
         items, texts, size=size, threshold=threshold, count=MINIMA, floor=FLOOR

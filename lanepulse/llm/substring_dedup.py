@@ -94,7 +94,7 @@ def repeated_lines(
         ), "paragraph-firsts",
     )
     heads = small_side(firsts.select(F.col("first").alias("node")))
-    items = signs.select("node", "sig", "bands").join(heads, "node", "left_semi")
+    items = signs.select("node", "n_shingles", "sig", "bands").join(heads, "node", "left_semi")
     labels = linked_components(
         items, scan.mapInArrow(_lines(min_words), "node long, text string"),
         size=size, threshold=threshold, count=MINIMA, floor=FLOOR,

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from lanepulse.llm import kernels as K
-from lanepulse.llm import minhash_near
+from lanepulse.llm import linking, minhash_near
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -77,6 +77,19 @@ def test_groups_equal_brute_force(spark, size):
     assert got == brute(rows, size, 80)
 
 
+def test_leftovers_in_small_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(linking, "PART_ROWS", 7)
+    monkeypatch.setattr(linking, "PART_SHINGLES", 900)
+    monkeypatch.setattr(linking, "PROGRESS", 0)
+    rows = sample(250, 11)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {
+        r["id"]: (r["n_shingles"], r["group_id"])
+        for r in minhash_near.near_groups(df).collect()
+    }
+    assert got == brute(rows, 5, 80)
+
+
 def test_nulls_ties_and_clashing_columns(spark):
     text = "one two three four five six"
     rows = [(None, text, 1), (7, text, 2), (7, text, 3), (8, None, 4), (9, None, 5)]
