@@ -194,7 +194,7 @@ def fit_quality(
         x[k, :BUCKETS] = np.frombuffer(row["words"], np.float16)
         x[k, BUCKETS:] = np.frombuffer(row["stats"], np.float32)
     truth = np.array([r["label"] for r in found], np.float32)
-    del found, row
+    del found
     return Machine.fit(x, truth)
 
 
