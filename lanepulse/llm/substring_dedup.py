@@ -1,8 +1,15 @@
 """Repeated paragraphs: MinHash bands, exact check, components, first place kept.
 
-A paragraph is a line of a document. Lines of at least MIN_WORDS words are compared
-by their sets of word shingles; equal sets are one node. Bands are tuned for recall:
-a pair at the threshold is missed with the probability that miss_rate() gives.
+A paragraph is a line of a document of at least MIN_WORDS words, or a piece: PIECE
+words across line ends, from a place on that the words themselves decide. Both are
+compared by their sets of word shingles; equal sets are one node. Bands are tuned for
+recall: a pair at the threshold is missed with the probability that miss_rate() gives.
+
+A piece starts where the hash of three words is the smallest of some WINDOW in a row.
+Whatever stands around it, a passage of PIECE + WINDOW - 1 = 51 words starts a piece
+that lies inside it at the same place wherever the passage stands. A repeated piece is
+widened by the equal words around it and the first one of its kind, which are fewer
+than WINDOW on either side unless the next piece is repeated as well.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanepulse.joins import small_side
+from lanepulse.llm import kernels as K
 from lanepulse.llm.common import keyed, keyed_rows
 from lanepulse.llm.linking import SIGNED, linked_components, signed
 from lanepulse.staging import stage
@@ -27,6 +35,13 @@ MINIMA = 320
 # Three and a half standard deviations of the estimate below 0.8.
 FLOOR = 0.715
 BLOCK = 1 << 14
+PIECE = 24
+WINDOW = 28
+GRAM = 3
+PIECE_ROWS = 2
+PIECE_MINIMA = 32
+# As FLOOR, with 0.075 for 32 minima.
+PIECE_FLOOR = 0.53
 
 
 def tuned_bands(threshold: int, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -78,81 +93,340 @@ def _lines(min_words: int):
     return run
 
 
-def repeated_lines(
-    rows: DataFrame, *, size: int = 5, threshold: int = 80, min_words: int = MIN_WORDS
+def anchors(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Words that start a piece, of words given by hash and document.
+
+    Of a run of equal words only every WINDOW-th start counts.
+    """
+    n = len(hashes) - GRAM + 1
+    if n < WINDOW:
+        return np.zeros(0, np.int64)
+    sums = K.prefix_hash(hashes)
+    _, down = K.powers(len(hashes) + 1)
+    gram = K.mix((sums[GRAM:] - sums[:-GRAM]) * down[:n]) | np.uint64(1)
+    low = K.sliding(np.minimum, gram, WINDOW)
+    low = np.where(doc[: len(low)] == doc[WINDOW + GRAM - 2 :], low, np.uint64(0))
+    best = K.sliding(np.maximum, np.pad(low, WINDOW - 1), WINDOW)
+    at = np.arange(n)
+    start = np.ones(n, bool)
+    start[1:] = (gram[1:] != gram[:-1]) | (doc[1:n] != doc[: n - 1])
+    run = np.maximum.accumulate(np.where(start, at, 0))
+    found = np.flatnonzero((gram == best) & ((at - run) % WINDOW == 0))
+    found = found[found + PIECE <= len(hashes)]
+    return found[doc[found] == doc[found + PIECE - 1]]
+
+
+def _pieces(keys: np.ndarray, column):
+    """Blocks (nodes, pieces as bytes); a node is a document's key and the number of a word."""
+    data, offsets = K.flat(column)
+    for lo, hi in K.blocks(offsets):
+        text = data[offsets[lo] : offsets[hi]]
+        start, end, doc = K.words(text, offsets[lo : hi + 1] - offsets[lo])
+        at = anchors(K.word_hash(text, start, end), doc)
+        no = at - np.searchsorted(doc, doc[at])
+        at, no = at[no < 1 << LINE_BITS], no[no < 1 << LINE_BITS]
+        raw = text.tobytes()
+        nodes = (keys[lo:hi][doc[at]] << LINE_BITS) | no
+        spans = list(zip(start[at].tolist(), end[at + PIECE - 1].tolist()))
+        for k in range(0, len(at), BLOCK):
+            yield nodes[k : k + BLOCK], [raw[a:b] for a, b in spans[k : k + BLOCK]]
+
+
+def _keys(batch) -> np.ndarray:
+    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _sign_pieces(size: int, bands: int):
+    def run(batches):
+        for batch in batches:
+            for nodes, pieces in _pieces(_keys(batch), batch.column(1)):
+                yield from signed(nodes, pa.array(pieces, pa.binary()), size, bands, PIECE_ROWS, PIECE_MINIMA)
+
+    return run
+
+
+def _piece_texts(batches):
+    for batch in batches:
+        for nodes, pieces in _pieces(_keys(batch), batch.column(1)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes), pa.array(pieces, pa.binary()).cast(pa.string())], names=["node", "text"]
+            )
+
+
+def _repeated(
+    signs: DataFrame, texts: DataFrame, *, size: int, threshold: int, count: int, floor: float
 ) -> DataFrame:
-    """(key, lines) of the lines that repeat an earlier one; `rows` has key and text.
+    """(node, first, label) of all nodes that are not alone.
 
-    Earlier means a smaller key, or the same document and a smaller line number.
+    The first is the smallest node of the same set, the label the smallest that is linked.
     """
-    bands = tuned_bands(threshold)
-    scan = rows.select("key", "text")
-    signs = stage(scan.mapInArrow(_sign(size, min_words, bands), SIGNED), "paragraphs")
+    signs = stage(signs, "paragraphs")
     firsts = stage(
         signs.where("name is not null").groupBy("name").agg(
             F.min("node").alias("first"), F.count(F.lit(1)).alias("n")
         ), "paragraph-firsts",
     )
-    heads = small_side(firsts.select(F.col("first").alias("node")))
-    items = signs.select("node", "n_shingles", "sig", "bands").join(heads, "node", "left_semi")
-    labels = linked_components(
-        items, scan.mapInArrow(_lines(min_words), "node long, text string"),
-        size=size, threshold=threshold, count=MINIMA, floor=FLOOR,
+    # Copies are fewer than firsts, so theirs is the smaller list to look up.
+    copied = small_side(firsts.where("n > 1").select("name", "first"))
+    copies = signs.select("node", "name").join(copied, "name").where("node <> first").select("node")
+    items = signs.where("name is not null").select("node", "n_shingles", "sig", "bands").join(
+        small_side(stage(copies, "copies")), "node", "left_anti"
     )
+    labels = linked_components(items, texts, size=size, threshold=threshold, count=count, floor=floor)
     if labels is None:
-        heads = firsts.where("n > 1").select("name", F.col("first").alias("label"))
+        heads = firsts.where("n > 1").select("name", "first", F.col("first").alias("label"))
     else:
         labels = small_side(labels.select(F.col("node").alias("first"), "label"))
         heads = firsts.join(labels, "first", "left").where("n > 1 or label is not null").select(
-            "name", F.coalesce("label", "first").alias("label")
+            "name", "first", F.coalesce("label", "first").alias("label")
         )
-    placed = signs.select("node", "name").join(small_side(stage(heads, "repeated-names")), "name")
+    return signs.select("node", "name").join(small_side(stage(heads, "repeated-names")), "name").drop("name")
+
+
+def repeated_lines(
+    rows: DataFrame, *, size: int = 5, threshold: int = 80, min_words: int = MIN_WORDS
+) -> DataFrame:
+    """(key, lines) of the lines that repeat an earlier one; `rows` has key and text.
+
+    Earlier means a smaller key, or the same document and a smaller line number.
+    """
+    scan = rows.select("key", "text")
+    placed = _repeated(
+        scan.mapInArrow(_sign(size, min_words, tuned_bands(threshold)), SIGNED),
+        scan.mapInArrow(_lines(min_words), "node long, text string"),
+        size=size, threshold=threshold, count=MINIMA, floor=FLOOR,
+    )
     mask = F.lit((1 << LINE_BITS) - 1).cast("bigint")
     return placed.where("node <> label").groupBy(
         F.shiftright("node", LINE_BITS).alias("key")
     ).agg(F.collect_list(F.col("node").bitwiseAND(mask).cast("int")).alias("lines"))
 
 
+_AROUND = pa.schema([("node", pa.int64()), ("ref", pa.int64()), ("left", pa.int32()),
+                     ("words", pa.list_(pa.int32()))])
+
+
+def _around(batches):
+    """Hashes of the words of each repeated piece and around it, `left` of them before it.
+
+    Of a piece that none is held against, only the words up to the next one that goes count.
+    """
+    mask = (1 << LINE_BITS) - 1
+    for batch in batches:
+        rows = [[] for _ in _AROUND]
+        for text, found in zip(batch.column("text"), batch.column("found")):
+            data = np.frombuffer(text.as_py().encode(), np.uint8)
+            start, end, _ = K.words(data, np.array([0, len(data)]))
+            hashes = K.word_hash(data, start, end).astype(np.uint32).view(np.int32)
+            found = sorted((f["node"], f["ref"], f["first"]) for f in found.as_py())
+            going = [node & mask for node, ref, _ in found if node != ref]
+            k = 0
+            for node, ref, first in found:
+                at, low, high = node & mask, 0, len(hashes)
+                if node != first:
+                    low = going[k - 1] + PIECE if k else low
+                    high = going[k + 1] if k + 1 < len(going) else high
+                k += node != ref
+                low = min(at, max(low, at - WINDOW))
+                high = max(at + PIECE, min(high, at + PIECE + WINDOW))
+                for row, value in zip(rows, (node, ref, at - low, hashes[low:high])):
+                    row.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _AROUND)], schema=_AROUND)
+
+
+def aligned(words: np.ndarray, left: int, others: np.ndarray, before: int) -> tuple[int, int, int]:
+    """(start, end, shift) of the equal words of two pieces and around them, from the piece's start.
+
+    Pieces may be shifted against each other. Words at the edges that differ are left
+    out; pieces linked by others only count whole.
+    """
+    best, same = -1, None
+    for d in (0, -1, 1, -2, 2):
+        # Word i of the piece stands at i + left here and i + d + before there.
+        low, high = max(-left, -before - d), min(len(words) - left, len(others) - before - d)
+        equal = words[low + left : high + left] == others[low + d + before : high + d + before]
+        n = int(np.count_nonzero(equal[max(-low, 0) : PIECE - low]))
+        if n > best:
+            best, same, base, shift = n, equal, low, d
+    if 2 * best < PIECE:
+        return 0, PIECE, 0
+    inside = np.flatnonzero(same[max(-base, 0) : PIECE - base]) + max(-base, 0)
+    start, end = int(inside[0]), int(inside[-1]) + 1
+    while start + base <= 0 and start > 0 and same[start - 1]:
+        start -= 1
+    while end + base >= PIECE and end < len(same) and same[end]:
+        end += 1
+    return start + base, end + base, shift
+
+
+_SPANS = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+
+
+def _spans(batches):
+    mask = (1 << LINE_BITS) - 1
+    for batch in batches:
+        rows = [[] for _ in _SPANS]
+        node, ref, left, before = (batch.column(n).to_pylist() for n in ("node", "ref", "left", "ref_left"))
+        for k, (one, two) in enumerate(zip(batch.column("words"), batch.column("ref_words"))):
+            start, end, shift = aligned(one.values.to_numpy(), left[k], two.values.to_numpy(), before[k])
+            at, there = node[k] & mask, ref[k] & mask
+            start, stop = at + start, there + end + shift
+            if node[k] >> LINE_BITS == ref[k] >> LINE_BITS:
+                start = max(start, stop)
+            if start < at + end:
+                for row, value in zip(rows, (node[k] >> LINE_BITS, start, at + end)):
+                    row.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _SPANS)], schema=_SPANS)
+
+
+def repeated_spans(rows: DataFrame, *, size: int = 5, threshold: int = 80) -> DataFrame:
+    """(key, start, end) in words of the spans that repeat earlier words; `rows` has key and text.
+
+    Earlier is as in repeated_lines(). A piece is held against the first of the same set,
+    or else the first of its component. It does not go for being like one that it
+    overlaps, and a span starts after the words of its own document it repeats.
+    """
+    scan = rows.select("key", "text")
+    placed = _repeated(
+        scan.mapInArrow(_sign_pieces(size, tuned_bands(threshold, rows=PIECE_ROWS)), SIGNED),
+        scan.mapInArrow(_piece_texts, "node long, text string"),
+        size=size, threshold=threshold, count=PIECE_MINIMA, floor=PIECE_FLOOR,
+    )
+    overlaps = (F.shiftright("node", LINE_BITS) == F.shiftright("label", LINE_BITS)) & (
+        F.col("node") - F.col("label") < PIECE
+    )
+    ref = F.when(F.col("node") != F.col("first"), F.col("first")).when(overlaps, F.col("node")).otherwise(F.col("label"))
+    found = placed.withColumn("ref", ref).groupBy(F.shiftright("node", LINE_BITS).alias("key")).agg(
+        F.collect_list(F.struct("node", "ref", "first")).alias("found")
+    )
+    around = stage(
+        scan.join(found, "key").select("text", "found").mapInArrow(
+            _around, "node long, ref long, left int, words array<int>"
+        ), "around-pieces",
+    )
+    refs = around.select(
+        F.col("node").alias("ref"), F.col("left").alias("ref_left"), F.col("words").alias("ref_words")
+    )
+    return around.where("node <> ref").join(refs, "ref").mapInArrow(_spans, "key long, start long, end long")
+
+
+def repeated(
+    rows: DataFrame, *, size: int = 5, threshold: int = 80, min_words: int = MIN_WORDS
+) -> DataFrame:
+    """(key, lines, starts, ends) of what goes from each document that loses something."""
+    lines = repeated_lines(rows, size=size, threshold=threshold, min_words=min_words)
+    spans = repeated_spans(rows, size=size, threshold=threshold).groupBy("key").agg(
+        F.collect_list(F.struct("start", "end")).alias("spans")
+    ).select("key", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    return stage(lines.join(spans, "key", "full"), "repeated-lines")
+
+
+def without(text: str, gone: list[int], starts: list[int], ends: list[int]) -> tuple[str, list[int]]:
+    """The text without lines and spans of words, and the numbers of the lines that go whole.
+
+    White space after a span goes with it, or before it at the end of a line. A line
+    whose words all go, goes. Under PIECE words of a span that are left beside a line
+    which goes are no passage of their own: whole lines among them stay.
+    """
+    last = (1 << LINE_BITS) - 1
+    drop = set(gone)
+    if not starts:
+        lines = text.split("\n", last)
+        return "\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text, sorted(drop)
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    first, end, _ = K.words(data, np.array([0, len(data)]))
+    turn = np.zeros(len(first) + 1, np.int64)
+    np.add.at(turn, starts, 1)
+    np.add.at(turn, ends, -1)
+    going = np.cumsum(turn)[:-1] > 0
+    if drop:
+        line_of = np.searchsorted(np.flatnonzero(data == 10)[: last - 1], first)
+        dropped = np.isin(line_of, list(drop))
+        going &= ~dropped
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], going, [False]])))
+        for a, b in zip(edge[::2], edge[1::2]):
+            if b - a < PIECE and (dropped[a - 1 : a].any() or dropped[b : b + 1].any()):
+                for no in np.unique(line_of[a:b]):
+                    c, d = np.searchsorted(line_of, [no, no + 1])
+                    if a <= c and d <= b:
+                        going[c:d] = False
+    kept, base, word = [], 0, 0
+    for no, line in enumerate(raw.split(b"\n", last)):
+        stop = base + len(line)
+        after = int(np.searchsorted(first, stop))
+        mask = going[word:after]
+        if no not in drop and mask.any():
+            if mask.all():
+                drop.add(no)
+            else:
+                # From each run of words that stay: its start to the next run's, or to its last word.
+                edge = np.flatnonzero(np.diff(np.concatenate([[True], mask, [True]])))
+                parts = [raw[base : first[word]]]
+                for a, b in zip(edge[::2], edge[1::2]):
+                    more = b < len(mask) and not mask[b:].all()
+                    to = first[word + b] if more else stop if b == len(mask) else end[word + b - 1]
+                    parts.append(raw[first[word + a] : to])
+                line = b"".join(parts)
+        if no not in drop:
+            kept.append(line)
+        base, word = stop + 1, after
+    return b"\n".join(kept).decode(), sorted(drop)
+
+
 _KEPT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n_paragraphs", pa.int64()),
                    ("n_removed", pa.int64()), ("removed", pa.list_(pa.int32())),
                    ("kept_sha256", pa.string()), ("kept", pa.string())])
+_GONE = ("lines", "starts", "ends")
 
 
 def _without(batches):
     last = (1 << LINE_BITS) - 1
     for batch in batches:
         rows = [[] for _ in _KEPT]
-        for key, ident, text, gone in zip(*(batch.column(n) for n in ("key", "id", "text", "lines"))):
-            text, gone = text.as_py(), sorted(gone.as_py() or ())
-            lines = (text or "").split("\n", last)
-            drop = set(gone)
-            kept = "\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text
+        for key, ident, text, *gone in zip(*(batch.column(n) for n in ("key", "id", "text", *_GONE))):
+            text = text.as_py()
+            kept, removed = without(text or "", *(x.as_py() or [] for x in gone))
+            kept = None if text is None else kept
+            n_lines = text.count("\n") + 1 if text else 0
             digest = hashlib.sha256((kept or "").encode()).hexdigest()
-            values = (key.as_py(), ident.as_py(), len(lines) if text else 0, len(gone), gone, digest, kept)
+            values = (key.as_py(), ident.as_py(), min(n_lines, last + 1), len(removed), removed, digest, kept)
             for row, value in zip(rows, values):
                 row.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _KEPT)], schema=_KEPT)
 
 
+def _shortened(batches):
+    for batch in batches:
+        kept = []
+        for text, *gone in zip(*(batch.column(n) for n in ("text", *_GONE))):
+            text = text.as_py()
+            kept.append(None if text is None else without(text, *(x.as_py() or [] for x in gone))[0])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key"), pa.array(kept, pa.string())], names=["key", "kept"]
+        )
+
+
 def remove_paragraphs(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how
 ) -> DataFrame:
-    """Each document without the lines that near-repeat an earlier line.
-
-    Returns key, id, n_paragraphs, n_removed, removed (line numbers), kept_sha256 and
-    kept (the text; NULL stays NULL). Of a component of similar lines the one at the
-    smallest (id, line) stays. Lines under `min_words` words are left alone, as are
-    empty texts. Rows that share an id are documents of their own in the order of
-    their text, NULL ids first. Other columns are ignored; an empty table gives an
-    empty result. The lines past the 16 millionth of a document count as one.
+    """Each document without the lines and spans that near-repeat earlier ones.
+
+    Returns key, id, n_paragraphs, n_removed, removed (numbers of the lines that go
+    whole), kept_sha256 and kept (the text; NULL stays NULL). Of a component of similar
+    lines or pieces the one at the smallest (id, place) stays. Lines under `min_words`
+    words go only as part of a repeated passage. Rows that share an id are documents of
+    their own in the order of their text, NULL ids first. Other columns are ignored; an
+    empty table gives an empty result. The lines past the 16 millionth of a document
+    count as one, and no piece starts past its 16 millionth word.
     """
     rows = keyed(docs, id_column, text_column, bits=63 - LINE_BITS)
-    gone = small_side(stage(repeated_lines(rows, **how), "repeated-lines"))
+    gone = small_side(repeated(rows, **how))
     schema = (
         "key long, id long, n_paragraphs long, n_removed long, removed array<int>, "
         "kept_sha256 string, kept string"
     )
-    return rows.join(gone, "key", "left").select("key", "id", "text", "lines").mapInArrow(_without, schema)
+    return rows.join(gone, "key", "left").select("key", "id", "text", *_GONE).mapInArrow(_without, schema)
 
 
 def with_kept_text(
@@ -160,17 +434,16 @@ def with_kept_text(
 ) -> DataFrame:
     """All rows and columns of `docs`, with the text that stays and its length."""
     rows = keyed_rows(docs, id_column, text_column, bits=63 - LINE_BITS)
-    gone = small_side(stage(repeated_lines(rows, **how), "repeated-lines"))
-    numbered = F.transform(F.split("text", "\n", 1 << LINE_BITS), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    kept = F.filter(numbered, lambda s: ~F.array_contains("lines", s["i"]))
-    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(kept, lambda s: s["x"]), "\n")
-    )
+    gone = small_side(repeated(rows, **how))
+    shortened = small_side(stage(
+        rows.select("key", "text").join(gone, "key").mapInArrow(_shortened, "key long, kept string"), "shortened"
+    )).withColumn("is_shortened", F.lit(True))
+    text = F.when(F.col("is_shortened"), F.col("kept")).otherwise(F.col("text"))
     changed = {text_column: text}
     if chars_column in docs.columns:
-        changed[chars_column] = F.when(F.col("lines").isNull(), F.col(f"row.{chars_column}")).otherwise(
-            F.char_length(text).cast(docs.schema[chars_column].dataType)
-        )
-    return rows.join(gone, "key", "left").select(
+        changed[chars_column] = F.when(F.col("is_shortened"), F.char_length(text).cast(
+            docs.schema[chars_column].dataType
+        )).otherwise(F.col(f"row.{chars_column}"))
+    return rows.join(shortened, "key", "left").select(
         *[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     )

@@ -103,3 +103,34 @@ def test_repeated_paragraphs_go_and_clean_lines_stay(spark):
     assert got[2]["kept"] == f"{clean[2]}\n{short}" and got[9]["kept"] is None
     kept = {r["doc_id"]: r for r in substring_dedup.with_kept_text(df).collect()}
     assert kept[2]["text"] == got[2]["kept"] and kept[2]["n_chars"] == len(got[2]["kept"])
+
+
+def test_passages_inside_across_and_wrapped_over_lines_go(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join("w%d" % rng.randrange(9000) for _ in range(n))
+    passages = [words(51 + k) for k in range(12)]
+    split = lambda p, n: "\n".join(" ".join(p.split()[i : i + n]) for i in range(0, len(p.split()), n))
+    shapes = [lambda p: p, lambda p: split(p, 30), lambda p: split(p, 9)]
+    rows, want = [(k, f"{words(70)} {p} {words(70)}") for k, p in enumerate(passages)], {}
+    for k, p in enumerate(passages):
+        before, after = words(80), words(80)
+        rows.append((100 + k, f"{before} {shapes[k % 3](p)} {after}"))
+        want[100 + k] = [before.split(), after.split()]
+    run, own = " ".join(["ha"] * 40), words(60)
+    rows += [(300, f"{words(30)} {own} {words(30)} {own} {words(30)}"), (301, run), (302, words(40) + " é\n\n ü"), (303, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["id"]: r for r in substring_dedup.remove_paragraphs(df).collect()}
+    for k, (before, after) in want.items():
+        assert got[k]["kept"].split() == before + after
+    assert all(got[k]["kept"] == t for k, t in rows if k < 100 or k > 300)
+    assert got[300]["kept"].count(own) == 1 and len(got[300]["kept"].split()) == 150
+    kept = {r["doc_id"]: r["text"] for r in substring_dedup.with_kept_text(df).collect()}
+    assert kept == {k: r["kept"] for k, r in got.items()}
+
+
+def test_cut_spans_take_their_white_space_and_emptied_lines():
+    text = " a b  c d\ne f\n\ng h "
+    assert substring_dedup.without(text, [], [1], [3]) == (" a d\ne f\n\ng h ", [])
+    assert substring_dedup.without(text, [], [2, 3], [3, 7]) == (" a b\n\nh ", [1])
+    assert substring_dedup.without(text, [1], [0], [1]) == (" b  c d\n\ng h ", [1])
+    assert substring_dedup.without(text, [0], [], []) == ("e f\n\ng h ", [0])
