@@ -40,10 +40,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).select(
+    """Pieces of all documents, with their token ids, and their place in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).select(
         F.col("id").alias("doc_id"), F.col("key").alias("row_key"), "start", "length", "ids_crc32",
-        "doc_tokens", "sequence_id", "offset",
+        "doc_tokens", "ids", "sequence_id", "offset",
     )
 
 

@@ -115,3 +115,11 @@ def test_fit_without_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert quality.with_score(docs, quality.fit_quality(docs, labels), "s").count() == 0
+
+
+def test_last_stage_holds_the_token_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two three " * 900), (2, None), (None, "four")], "doc_id long, text string")
+    rows = corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()
+    assert len({r["row_key"] for r in rows}) == 3
+    for r in rows:
+        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
