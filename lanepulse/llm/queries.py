@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lanepulse.llm import (
     fingerprints, minhash_near, mixing, packing, quality, reshard, substring_dedup, suffix_dedup, topk, warc,
 )
+from lanepulse.staging import stage
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,7 +70,9 @@ def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(_table(spark, folder, "documents").select("doc_id", "source"))
+    # Whole documents are repeated, shuffled and written; the SQL names the columns shown of them.
+    mixed = stage(mixing.mix(_table(spark, folder, "documents")), "mixed-documents")
+    return mixed.select("doc_id", "source", "rate", "n_copies", "copy", "shuffle_key")
 
 
 def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,8 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline
-from lanepulse.llm import mixing, quality, topk
+from lanepulse.llm import mixing, quality, queries, topk
+from lanepulse.staging import stage
 
 
 def test_scores_separate_held_out_labels_and_take_odd_rows(spark):
@@ -123,3 +124,16 @@ def test_last_stage_holds_the_token_ids(spark, tmp_path):
     assert len({r["row_key"] for r in rows}) == 3
     for r in rows:
         assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
+
+
+def test_mixing_query_carries_whole_documents(spark, tmp_path, monkeypatch):
+    rows = [(i, "text %d" % i, "en", "s%d" % (i % 3), 6) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    written = []
+    monkeypatch.setattr(queries, "stage", lambda df, label: written.append(stage(df, label)) or written[-1])
+    got = queries.op8_mixing(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "source", "rate", "n_copies", "copy", "shuffle_key"]
+    whole = written[0].collect()
+    assert len(whole) == got.count() > 0
+    assert all((r["text"], r["lang"], r["n_chars"]) == ("text %d" % r["doc_id"], "en", 6) for r in whole)
