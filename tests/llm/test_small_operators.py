@@ -134,3 +134,21 @@ def test_cut_spans_take_their_white_space_and_emptied_lines():
     assert substring_dedup.without(text, [], [2, 3], [3, 7]) == (" a b\n\nh ", [1])
     assert substring_dedup.without(text, [1], [0], [1]) == (" b  c d\n\ng h ", [1])
     assert substring_dedup.without(text, [0], [], []) == ("e f\n\ng h ", [0])
+
+
+def test_rewritten_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(i, "text %d" % i, "en") for i in range(200)] + [(None, "a", "x"), (None, None, "y"), (7, "again", "z"), (7, "text 7", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    folder = f"{tmp_path}/shards"
+    stay = reshard.F.lit(None).cast("int")
+    for old_shards, shards in ((1, 6), (6, 2)):
+        plan = reshard.reshard(docs, old_shards=old_shards, shards=shards).cache()
+        if old_shards == 6:
+            # The layout so far, by the shards that the second plan starts from.
+            whole = plan.select("id", "key", reshard.F.col("old_shard").alias("shard"), stay.alias("slot"))
+            whole.write.mode("overwrite").partitionBy("shard").parquet(folder)
+        touched = reshard.rewrite(docs, plan, folder)
+        assert set(touched) >= {r["shard"] for r in plan.where("old_shard <> shard").collect()}
+        got = spark.read.parquet(folder)
+        assert {r["shard"] for r in got.select("shard").distinct().collect()} <= set(range(shards))
+        assert Counter((r["doc_id"], r["text"], r["lang"]) for r in got.collect()) == Counter(rows)
