@@ -33,6 +33,8 @@ PART_ROWS = 2000
 PART_SHINGLES = 1 << 22
 # Rounds of proposals go on while one in so many links.
 PROGRESS = 5
+# Floors, bands and minima of the operators are tuned for this similarity.
+LEAST = 80
 SIGNED = "node long, n_shingles long, name binary, sig array<long>, bands array<long>"
 _SIGNED = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("name", pa.binary()),
                      ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
@@ -41,6 +43,12 @@ _MULTIPLIERS = _RNG.integers(0, 2**31, 512, dtype=np.uint32) * np.uint32(2) + np
 _SHIFTS = _RNG.integers(0, 2**32, 512, dtype=np.uint32)
 
 
+def tuned_for(threshold: int) -> None:
+    """Stop on a threshold whose links the floors would drop unseen."""
+    if not LEAST <= threshold <= 100:
+        raise ValueError(f"threshold has to be from {LEAST} to 100, not {threshold}")
+
+
 def minima(values: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
     """(documents, count): smallest value of each hash function over each set."""
     folded = (values ^ (values >> np.uint64(20))).astype(np.uint32)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lanepulse.joins import small_side
 from lanepulse.llm.common import keyed, keyed_rows
-from lanepulse.llm.linking import SIGNED, linked_components, signed
+from lanepulse.llm.linking import SIGNED, linked_components, signed, tuned_for
 from lanepulse.staging import stage
 
 # A link at 0.8 is missed by every band with probability 0.488 ** 32, under 2e-10.
@@ -62,7 +62,8 @@ def first_of_groups(
 
 
 def grouped(rows: DataFrame, *, size: int, threshold: int) -> DataFrame:
-    """near_groups() of rows that have key, id and text."""
+    """near_groups() of rows that have key, id and text; a threshold under 80 is refused."""
+    tuned_for(threshold)
     signs = stage(rows.select("key", "text").mapInArrow(_sign(size), SIGNED), "signatures")
     firsts = signs.where("name is not null").groupBy("name").agg(F.min("node").alias("first"))
     firsts = stage(firsts, "set-firsts")

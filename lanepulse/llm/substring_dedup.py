@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lanepulse.joins import small_side
 from lanepulse.llm import kernels as K
 from lanepulse.llm.common import keyed, keyed_rows
-from lanepulse.llm.linking import SIGNED, linked_components, signed
+from lanepulse.llm.linking import SIGNED, linked_components, signed, tuned_for
 from lanepulse.staging import stage
 
 MIN_WORDS = 20
@@ -313,7 +313,11 @@ def repeated_spans(rows: DataFrame, *, size: int = 5, threshold: int = 80) -> Da
 def repeated(
     rows: DataFrame, *, size: int = 5, threshold: int = 80, min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """(key, lines, starts, ends) of what goes from each document that loses something."""
+    """(key, lines, starts, ends) of what goes from each document that loses something.
+
+    A threshold under 80 is refused.
+    """
+    tuned_for(threshold)
     lines = repeated_lines(rows, size=size, threshold=threshold, min_words=min_words)
     spans = repeated_spans(rows, size=size, threshold=threshold).groupBy("key").agg(
         F.collect_list(F.struct("start", "end")).alias("spans")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from lanepulse.llm import kernels as K
-from lanepulse.llm import linking, minhash_near
+from lanepulse.llm import linking, minhash_near, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -113,3 +113,11 @@ def test_words_match_pattern():
     start, end, doc = K.words(data, offsets)
     got = [(int(d), bytes(data[a:b]).decode()) for a, b, d in zip(start, end, doc)]
     assert got == [(i, w) for i, t in enumerate(texts) for w in WORD.findall(t)]
+
+
+@pytest.mark.parametrize("threshold", [40, 60, 79, 101])
+def test_thresholds_that_nothing_is_tuned_for_are_refused(spark, threshold):
+    df = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    for run in (minhash_near.near_groups, minhash_near.first_of_groups, substring_dedup.remove_paragraphs):
+        with pytest.raises(ValueError):
+            run(df, threshold=threshold)
