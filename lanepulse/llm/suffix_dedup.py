@@ -1,23 +1,22 @@
-"""Repeated byte strings across documents, by prefix doubling over anchors.
-
-A string of LENGTH bytes that starts in a document and in one with a smaller key
-is removed. Ranking every position would move the corpus many times over, so
-only anchors are ranked: positions whose GRAM-byte hash is smallest within some
-LENGTH-byte window. Equal windows hold equal anchors at equal places, so no match
-is lost. Ranks double in two rounds:
-
-1. rank of the GRAM bytes at an anchor. Spark deals the (rank, document, place)
-   triples over tasks by rank; each task sorts its own and drops ranks that only
-   one document has ("unique": nothing longer can repeat there).
-2. rank of every LENGTH-byte window around a surviving anchor, from the two
-   prefix ranks that bound it (offsets grow past the threshold here). Again sorted
-   by rank, the smallest document of a rank keeps its string.
-
-Ranks are names made by hashing, which need no renumbering between rounds. Copies
-within a batch are settled before anything is shuffled, so a passage in a third of
-all documents sends one triple per batch. Equal whole texts are settled first.
-
-Ranks of windows are 64-bit hashes compared inside a part of the table.
+"""Repeated byte strings across documents, by anchors and window hashes.
+
+These replace prefix doubling: no (rank, rank at +k) pairs are built and nothing is
+reranked at growing offsets. A string of LENGTH bytes that starts in a document and in
+one with a smaller key is removed. Anchors are positions whose GRAM-byte hash is
+smallest within some LENGTH-byte window. Equal windows hold equal anchors at equal
+places, so no match is lost. Two steps:
+
+1. the GRAM bytes at an anchor are named by their hash. Spark deals the (name,
+   document, place) triples over tasks by name; each task sorts its own in numpy and
+   drops names that only one document has (nothing longer can repeat there).
+2. every LENGTH-byte window around a surviving anchor is named by a polynomial hash of
+   its bytes, a difference of two prefix sums. Again sorted by name inside a task, the
+   smallest document of a name keeps its string.
+
+Copies within a batch are settled before anything is shuffled, so a passage in a third
+of all documents sends one triple per batch. Equal whole texts are settled first.
+
+Names of windows are 64-bit hashes compared inside a part of the table.
 """
 
 from __future__ import annotations
