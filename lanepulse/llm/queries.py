@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanepulse.llm import (
-    fingerprints, minhash_near, mixing, packing, quality, reshard, substring_dedup, suffix_dedup, topk, warc,
+    fingerprints, hard_negatives, license_scan, minhash_near, mixing, packing, periodic_runs, quality, reshard,
+    substring_dedup, suffix_dedup, topk, warc,
 )
 from lanepulse.staging import stage
 
@@ -90,6 +91,21 @@ def op10_reshard(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, folder, "embeddings").withColumn("label", label))
+
+
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    scanned = license_scan.scan_licenses(_table(spark, folder, "documents"))
+    return license_scan.license_columns(scanned).withColumnRenamed("id", "doc_id")
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periodic_runs.with_looped_tails(_table(spark, folder, "documents"))
+    return periodic_runs.run_columns(periodic_runs.periodic_runs(docs)).withColumnRenamed("id", "doc_id")
+
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
@@ -108,10 +124,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_suffix_dedup, op2_warc, op3_quality, op4_packing, op5_substring_dedup, op6_fingerprints,
-            op7_topk, op8_mixing, op9_minhash, op10_reshard,
+            op7_topk, op8_mixing, op9_minhash, op10_reshard, op11_hard_negatives, op12_licenses,
+            op13_periodic_runs,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": OP7_SQL, "op8_mixing": mixing.MIX_SQL}
+    return {"op7_topk": OP7_SQL, "op8_mixing": mixing.MIX_SQL, "op11_hard_negatives": hard_negatives.MINE_SQL}
