@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lanepulse.functions.clock import time_bucket
 from lanepulse.operators.sites import aggregate_per_site
-from lanepulse.params import DEFAULTS, LANE_KEY, Params, period_of
+from lanepulse.params import DEFAULTS, LANE_KEY, UNDATED, Params, period_of
 
 COUNTERS = ["n_rows", "n_missing", "n_implausible", "n_negative", "n_zero", "n_moving"]
 
@@ -57,6 +57,11 @@ def with_period(readings: DataFrame, period: Column) -> DataFrame:
     return readings.withColumn("period", period)
 
 
+def named_period(period: Column) -> Column:
+    """The period as text; readings without one are a period of their own."""
+    return F.coalesce(period.cast("string"), F.lit(UNDATED))
+
+
 def bucket_cells(
     readings: DataFrame, sites: DataFrame, p: Params = DEFAULTS
 ) -> DataFrame:

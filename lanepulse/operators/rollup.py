@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanepulse.functions.clock import day_of_week
@@ -35,24 +35,39 @@ def measurements(cells: DataFrame, health: DataFrame) -> DataFrame:
     )
 
 
-def day_night(facts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Weekday mean speed by day and by night per site."""
+def rhythm_sums(p: Params = DEFAULTS) -> dict[str, Column]:
+    """Sums and counts of moving readings on weekdays by day and by night; they add up over any rows."""
 
-    def mean_between(hours):
+    def inside(hours: tuple[int, int], counter: str) -> Column:
         low, high = p.bucket_range(hours)
-        inside = (F.col("bucket") >= low) & (F.col("bucket") < high)
-        return F.try_divide(
-            F.sum(F.when(inside, F.col("speed_sum"))),
-            F.sum(F.when(inside, F.col("n_moving"))),
-        )
+        within = (F.col("bucket") >= low) & (F.col("bucket") < high) & F.col("dow").between(1, 5)
+        return F.sum(F.when(within, F.col(counter)))
 
-    return (
-        facts.where(F.col("dow").between(1, 5))
-        .groupBy(*period_of(facts), "site_id")
-        .agg(
-            mean_between(p.stalled_day_hours).alias("day_speed"),
-            mean_between(p.stalled_night_hours).alias("night_speed"),
-        )
+    return {
+        f"{name}_{counter}": inside(hours, counter)
+        for name, hours in (("day", p.stalled_day_hours), ("night", p.stalled_night_hours))
+        for counter in ("speed_sum", "n_moving")
+    }
+
+
+def day_night(facts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Weekday mean speed by day and by night per site."""
+    sums = rhythm_sums(p)
+    per_site = facts.where(F.col("dow").between(1, 5)).groupBy(*period_of(facts), "site_id").agg(
+        *[column.alias(name) for name, column in sums.items()]
+    )
+    return day_night_means(per_site, list(sums))
+
+
+def day_night_means(per_site: DataFrame, sums: list[str]) -> DataFrame:
+    """Means from the columns that rhythm_sums() made."""
+    others = [c for c in per_site.columns if c not in sums]
+    return per_site.select(
+        *others,
+        *[
+            F.try_divide(f"{name}_speed_sum", f"{name}_n_moving").alias(f"{name}_speed")
+            for name in ("day", "night")
+        ],
     )
 
 
@@ -95,7 +110,7 @@ def detectors(
     lanes: DataFrame,
     health: DataFrame,
     histogram: DataFrame,
-    facts: DataFrame,
+    rhythm: DataFrame,
     claims: DataFrame,
     p: Params = DEFAULTS,
 ) -> DataFrame:
@@ -103,7 +118,8 @@ def detectors(
 
     Each figure is aggregated to one row per site first, so every join here is
     between site-sized tables. A site whose lanes are all dead stays, with no mean.
-    `claims` are the streets per position, in each period where there are several.
+    `rhythm` are the means of day_night(), `claims` the streets per position, in each period
+    where there are several.
     """
     keys = [*period_of(lanes), "site_id"]
     per_site = lanes.groupBy(*keys).agg(F.sum("n_missing").alias("n_missing"))
@@ -116,7 +132,7 @@ def detectors(
         .join(claims, [*period_of(lanes), "lat", "lon"])
         .join(_live_profile(health), keys, "left")
         .join(free_flow(histogram, health, p), keys, "left")
-        .join(day_night(facts, p), keys, "left")
+        .join(rhythm, keys, "left")
         .fillna(0, list(zero))
         .select(
             *keys,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanepulse.joins import is_small
+from lanepulse.joins import is_small, small_side
 from lanepulse.operators.numbering import dense_ids
 from lanepulse.params import DEFAULTS, SITE_KEY, Params, period_of
 
@@ -18,11 +18,29 @@ def number_sites(frame: DataFrame) -> DataFrame:
     `site_key` is a stable id for inputs that grow: numbers shift when a new
     point appears, the hash does not.
     """
-    distinct = frame.select(*SITE_KEY).distinct()
-    numbered = dense_ids(distinct, SITE_KEY, "site_id", start=1)
+    return _numbered(frame.select(*SITE_KEY).distinct(), start=1)
+
+
+def _numbered(distinct: DataFrame, start: int) -> DataFrame:
+    numbered = dense_ids(distinct, SITE_KEY, "site_id", start=start)
     return numbered.withColumn("site_key", F.xxhash64(*SITE_KEY))
 
 
+def extend_sites(known: DataFrame, frame: DataFrame) -> DataFrame:
+    """`known` sites with their numbers, and after them in key order those only the readings have.
+
+    What a number means never changes, so sums of earlier loads stay joinable. A
+    NULL in a key is a value like any other.
+    """
+    same = F.lit(True)
+    for name in SITE_KEY:
+        same = same & F.col(f"new.{name}").eqNullSafe(F.col(f"old.{name}"))
+    old = small_side(known.select(*SITE_KEY)).alias("old")
+    fresh = frame.select(*SITE_KEY).distinct().alias("new").join(old, same, "left_anti")
+    last = known.agg(F.max("site_id")).first()[0] or 0
+    return known.unionByName(_numbered(fresh, start=last + 1))
+
+
 def aggregate_per_site(
     frame: DataFrame,
     sites: DataFrame,

@@ -12,6 +12,8 @@ LANE_KEY = ["site_id", "detector_id", "lane"]
 # Optional extra key: when a frame carries it, every whole-period rule (dead
 # lanes, free flow, day/night) is judged inside one period.
 PERIOD = "period"
+# The period of readings that a load's period expression gives none.
+UNDATED = "undated"
 
 # Weekday numbers with Sunday = 0.
 DAY_SCOPES = {

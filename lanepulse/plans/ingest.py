@@ -13,15 +13,17 @@ from lanepulse.operators.cleaning import (
     bucket_cells,
     clean_readings,
     load_report,
+    named_period,
     speed_histogram,
     with_period,
 )
 from lanepulse.operators.lanes import dead_lane_report
-from lanepulse.operators.sites import number_sites, placeholder_sites, streets_per_point
+from lanepulse.operators.sites import extend_sites, number_sites, placeholder_sites, streets_per_point
 from lanepulse.joins import small_side
-from lanepulse.params import DEFAULTS, Params, period_of
+from lanepulse.params import DEFAULTS, PERIOD, Params, period_of
 from lanepulse.sources.readings import read_readings
-from lanepulse.sources.tables import read_table, write_measurements, write_table
+from lanepulse.sources.tables import fact_order
+from lanepulse.sources.versions import Versions
 from lanepulse.staging import stage
 
 
@@ -34,11 +36,15 @@ class Ingest:
     written as Parquet first.
     """
 
-    def __init__(self, raw: DataFrame, period: Column | None = None, p: Params = DEFAULTS):
+    def __init__(
+        self, raw: DataFrame, period: Column | None = None, p: Params = DEFAULTS,
+        known_sites: DataFrame | None = None,
+    ):
         self.readings = clean_readings(raw)
         if period is not None:
             self.readings = with_period(self.readings, period)
         self.p = p
+        self.known_sites = known_sites
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -50,7 +56,10 @@ class Ingest:
 
     @cached_property
     def sites(self) -> DataFrame:
-        return number_sites(self.readings)
+        """All sites; those of earlier loads, where given, keep their numbers."""
+        if self.known_sites is None:
+            return number_sites(self.readings)
+        return stage(extend_sites(self.known_sites, self.readings), "sites")
 
     @cached_property
     def lanes(self) -> DataFrame:
@@ -69,7 +78,8 @@ class Ingest:
         # A name that a street had in another period does not count against it.
         named = self.readings if period_of(self.readings) else self.sites
         return rollup.detectors(
-            self.sites, self.lanes, self.health, self.histogram, facts, streets_per_point(named), self.p
+            self.sites, self.lanes, self.health, self.histogram,
+            rollup.day_night(facts, self.p), streets_per_point(named), self.p,
         )
 
     def with_site_key(self, frame: DataFrame) -> DataFrame:
@@ -88,34 +98,38 @@ def build_tables(
 ) -> dict[str, DataFrame]:
     """Load CSVs, write `measurements` and `detectors` under `out`, return the reports.
 
-    `period` (for instance the month of `date`) makes dead lanes and site
-    figures per period, and both tables one folder per period. A load then replaces
-    the periods that it has rows for and keeps the others. `site_id` is a number within
-    one load, so join on (period, site_id); `site_key` is the same site in all loads.
+    Both tables are published together (`sources.versions`): a job that stops leaves the
+    tables of the load before, and readers of those are not disturbed. `period` (for instance
+    the month of `date`) makes dead lanes and site figures per period. A load then
+    replaces the periods that it has rows for and keeps the others, and sites keep
+    their numbers over all loads. Periods are text; readings without one form the period "undated".
     The tables are returned whole, with the periods of earlier loads; load and lane
     reports are about this load.
     """
     # Text is parsed once; the scans of the load read the typed copy.
     raw = stage(read_readings(spark, csv_paths, **csv_options), "readings")
-    load = Ingest(raw, period, p)
-    if period is None:
-        measured, keys = load.measurements, []
-    else:
-        measured, keys = load.with_site_key(load.measurements), period_of(load.readings)
-    write_measurements(measured, f"{out}/measurements")
-    facts = read_table(spark, f"{out}/measurements", measured.schema)
-    fresh = facts
-    if keys:
-        # Only the folders just written.
-        loaded = stage(load.lanes.select(*keys).distinct(), "periods")
-        fresh = facts.join(small_side(loaded), keys, "left_semi")
-    sites = load.detectors(fresh)
-    if keys:
+    versions = Versions(spark, out)
+    draft = versions.begin()
+    known, by = None, None
+    if period is not None:
+        by, period = PERIOD, named_period(period)
+        if "sites" in versions.record(draft.base):
+            known = versions.read("sites", version=draft.base)
+    load = Ingest(raw, period, p, known)
+    measured = load.measurements
+    if by:
+        draft.write("sites", load.sites)
+        measured = load.with_site_key(measured)
+    facts = draft.write("measurements", fact_order(measured), by)
+    sites = load.detectors(facts)
+    if by:
         sites = load.with_site_key(sites)
-    write_table(sites, f"{out}/detectors", keys)
-    detectors = read_table(spark, f"{out}/detectors", sites.schema)
+    draft.write("detectors", sites.hint("rebalance", PERIOD) if by else sites, by)
+    replaced = [r[0] for r in load.lanes.select(PERIOD).distinct().collect()] if by else None
+    version = draft.publish(replaced)
+    detectors = versions.read("detectors", version=version)
     return {
-        "measurements": facts,
+        "measurements": versions.read("measurements", version=version),
         "detectors": detectors,
         "load_report": load_report(load.cells),
         "dead_lane_report": dead_lane_report(load.health),

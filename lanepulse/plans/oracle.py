@@ -142,6 +142,29 @@ _TABLES.update(_keyed(""))
 _WEEKLY = _keyed("strftime(date_trunc('week', date), '%Y-%m-%d')")
 _MONTHLY = _keyed("strftime(date, '%Y-%m')")
 
+# Loads as the registered queries make them: a site is numbered when its first readings arrive.
+_LOADED = {
+    "site": """
+SELECT row_number() OVER (ORDER BY load, lat, lon, street, from_street, to_street) AS site_id,
+       lat, lon, street, from_street, to_street
+FROM (SELECT lat, lon, street, from_street, to_street,
+             min(CASE WHEN date < DATE '2024-01-08' THEN 3 WHEN date < DATE '2024-01-22' THEN 1
+                      WHEN date < DATE '2024-01-29' THEN 2 ELSE 4 END) AS load
+      FROM feed WHERE lat IS NOT NULL GROUP BY ALL)""",
+}
+_TWO_WEEKS = {
+    "good": """
+SELECT * FROM feed
+WHERE lat IS NOT NULL AND strftime(date_trunc('week', date), '%Y-%m-%d') IN ('2024-01-08', '2024-01-22')""",
+}
+_VARIANTS = {
+    "sites_over_loads": _LOADED,
+    "detectors_from_weeks": _LOADED,
+    "measurements_from_weeks": _LOADED,
+    "detectors_from_two_weeks": {**_LOADED, **_TWO_WEEKS},
+    "detectors_per_stored_week": {**_WEEKLY, **_LOADED},
+}
+
 
 # Sites whose weekday readings are all zero still have a row, without means.
 _TABLES["day_night_all"] = """
@@ -427,15 +450,19 @@ FROM reached_far GROUP BY ALL"""
 
 # --- the queries ---
 
-_REPORT = """
+_WEEK_OF = "strftime(date_trunc('week', date), '%Y-%m-%d')"
+
+
+def _report(by: str = "") -> str:
+    return f"""
 SELECT *, n_missing / n_rows AS share_missing, n_implausible / n_rows AS share_implausible,
        n_negative / n_rows AS share_negative, n_zero / n_rows AS share_zero,
        n_moving / n_rows AS share_moving
-FROM (SELECT count(*) AS n_rows, count(*) FILTER (speed IS NULL) AS n_missing,
+FROM (SELECT {by} count(*) AS n_rows, count(*) FILTER (speed IS NULL) AS n_missing,
              count(*) FILTER (speed > 120) AS n_implausible, count(*) FILTER (speed < 0) AS n_negative,
              count(*) FILTER (speed = 0) AS n_zero, count(*) FILTER (speed > 0 AND speed <= 120) AS n_moving,
              count(*) FILTER (concat(street, from_street, to_street) IS NULL) AS n_unjoinable
-      FROM good)"""
+      FROM good {'GROUP BY ALL' if by else ''})"""
 
 
 def _alpha(support: str, low: str, high: str, reference: str, gamma: str) -> str:
@@ -456,8 +483,9 @@ SELECT CASE WHEN speed IS NULL THEN 'missing' WHEN speed > 120 THEN 'implausible
             WHEN speed > 0 THEN 'moving' WHEN speed = 0 THEN 'zero' ELSE 'negative' END
            AS reading_class, count(*) AS n
 FROM good GROUP BY 1""",
-    "load_report": _REPORT,
-    "csv_load_report": _REPORT,
+    "load_report": _report(),
+    "load_report_per_stored_week": _report(f"{_WEEK_OF} AS period,"),
+    "csv_load_report": _report(),
     "sites": "SELECT * FROM site",
     "coord_streets": "SELECT * FROM claims",
     "lane_health": "SELECT * FROM lane_state",
@@ -473,6 +501,11 @@ FROM placed SEMI JOIN (SELECT * FROM lane_state WHERE is_dead) USING (site_id, d
     "free_flow": "SELECT * FROM freeflow",
     "detectors": "SELECT * FROM detector",
     "detectors_by_week": "SELECT * FROM detector",
+    "sites_over_loads": "SELECT * FROM site",
+    "detectors_from_weeks": "SELECT * FROM detector",
+    "detectors_from_two_weeks": "SELECT * FROM detector",
+    "detectors_per_stored_week": "SELECT * FROM detector",
+    "measurements_from_weeks": "SELECT * FROM fact",
     "site_flags": """
 SELECT site_id, is_live, has_reference, is_stalled, is_usable, has_location FROM flagged""",
     "quality_counters": """
@@ -606,6 +639,12 @@ _DOUBLES: dict[str, str] = {
     "free_flow": "free_flow_speed",
     "detectors": _SITE_DOUBLES,
     "detectors_by_week": _SITE_DOUBLES,
+    "load_report_per_stored_week": _REPORT_DOUBLES,
+    "sites_over_loads": "lat lon",
+    "detectors_from_weeks": _SITE_DOUBLES,
+    "detectors_from_two_weeks": _SITE_DOUBLES,
+    "detectors_per_stored_week": _SITE_DOUBLES,
+    "measurements_from_weeks": "speed_sum",
     "slice_weekday_1730": _SLICE_DOUBLES,
     "slice_weekend": _SLICE_DOUBLES,
     "slice_all_day_zeros": _SLICE_DOUBLES,
@@ -662,6 +701,7 @@ def _with(name: str, body: str) -> str:
         tables.update(_WEEKLY)
     elif name.endswith("_by_month"):
         tables.update(_MONTHLY)
+    tables.update(_VARIANTS.get(name, {}))
     parts = []
     for table in _needed(body, tables):
         recursive = re.search(rf"\b{table}\b", tables[table])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +23,7 @@ from lanepulse.operators.sites import placeholder_sites, streets_per_point
 from lanepulse.params import DAY_SCOPES
 from lanepulse.plans.ingest import Ingest
 from lanepulse.plans.network import claimed_network
+from lanepulse.plans.stored import PeriodStore
 from lanepulse.sources.readings import read_readings, write_readings_csv
 from lanepulse.sources.roads import read_ways
 from lanepulse.sources.sample_feed import read_sample_feed, ways_from_sites
@@ -32,6 +34,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 WEEKDAY, WEEKEND = DAY_SCOPES["weekday"], DAY_SCOPES["weekend"]
 EVENING = [35]  # the 17:30 bucket
 STREETS = ["Street 1", "Street 2", "Street 4"]
+# First day and day after the last one of the readings that arrive together.
+LOADS = [
+    ("2024-01-08", "2024-01-22"), ("2024-01-22", "2024-01-29"), ("1900-01-01", "2024-01-08"),
+    ("2024-01-29", "2999-01-01"), ("2024-01-15", "2024-01-22"),
+]
+
+
+def _week() -> Column:
+    """Monday of a date's week, as text."""
+    return F.date_format(F.date_trunc("week", F.col("date")), "yyyy-MM-dd")
+
 
 _QUERIES: dict[str, Query] = {}
 _STORES: dict[tuple[str, str], Store] = {}
@@ -81,6 +94,16 @@ class Store:
         """Whole weekdays; several consumers read it, so it is written down."""
         return stage(slices.site_slice(self.facts, self.sites, dows=WEEKDAY), "slice")
 
+    @cached_property
+    def weeks(self) -> PeriodStore:
+        """Sums per week after five loads, the last one of a week that was there before."""
+        kept = PeriodStore(self.spark, f"{session_folder(self.spark)}/weeks-{uuid.uuid4().hex[:12]}")
+        readings = stage(self.load.readings, "readings")
+        for first, end in LOADS:
+            inside = (F.col("date") >= F.lit(first).cast("date")) & (F.col("date") < F.lit(end).cast("date"))
+            kept.load(readings.where(inside), _week())
+        return kept
+
     def profile(self) -> DataFrame:
         return slices.city_profile(self.facts, self.sites, dows=WEEKDAY)
 
@@ -192,8 +215,40 @@ def detectors(s: Store) -> DataFrame:
 
 @query
 def detectors_by_week(s: Store) -> DataFrame:
-    week = F.date_format(F.date_trunc("week", F.col("date")), "yyyy-MM-dd")
-    return Ingest(s.load.readings, week).detectors()
+    return Ingest(s.load.readings, _week()).detectors()
+
+
+@query
+def sites_over_loads(s: Store) -> DataFrame:
+    """Sites numbered by the load that brought them, then by key."""
+    return s.weeks.view().sites.drop("site_key")
+
+
+@query
+def detectors_from_weeks(s: Store) -> DataFrame:
+    """Figures over all weeks from their stored sums."""
+    return s.weeks.view().detectors()
+
+
+@query
+def detectors_from_two_weeks(s: Store) -> DataFrame:
+    return s.weeks.view(["2024-01-08", "2024-01-22"]).detectors()
+
+
+@query
+def detectors_per_stored_week(s: Store) -> DataFrame:
+    return s.weeks.view(by_period=True).detectors()
+
+
+@query
+def measurements_from_weeks(s: Store) -> DataFrame:
+    """The fact table of all weeks, with dead lanes judged over all of them."""
+    return s.weeks.view().measurements
+
+
+@query
+def load_report_per_stored_week(s: Store) -> DataFrame:
+    return cleaning.load_report(s.weeks.view(by_period=True).cells)
 
 
 @query

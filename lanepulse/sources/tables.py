@@ -17,8 +17,8 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     writer.parquet(path)
 
 
-def write_measurements(measurements: DataFrame, path: str) -> None:
-    """Fact table; one folder per period when there are several.
+def fact_order(measurements: DataFrame) -> DataFrame:
+    """The fact table as it is best written, one folder per period when there are several.
 
     Rows are ordered by day and bucket inside each file, so a slice skips the
     row groups it does not need. Periods are first brought together, a long one
@@ -27,8 +27,7 @@ def write_measurements(measurements: DataFrame, path: str) -> None:
     keys = period_of(measurements)
     if keys:
         measurements = measurements.hint("rebalance", *keys)
-    ordered = measurements.sortWithinPartitions(*keys, "dow", "bucket", "site_id")
-    write_table(ordered, path, keys)
+    return measurements.sortWithinPartitions(*keys, "dow", "bucket", "site_id")
 
 
 def read_table(
