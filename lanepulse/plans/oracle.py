@@ -496,6 +496,7 @@ SELECT (SELECT count(*) FILTER (is_dead) FROM lane_state) AS n_dead_lanes,
        count(*) FILTER (speed > 0 AND speed <= 120) AS dead_moving_readings
 FROM placed SEMI JOIN (SELECT * FROM lane_state WHERE is_dead) USING (site_id, detector_id, lane)""",
     "measurements": "SELECT * FROM fact",
+    "csv_mixed_headers": "SELECT * FROM fact",
     "measurements_by_month": "SELECT * FROM fact",
     "day_night": "SELECT * FROM day_night_all",
     "free_flow": "SELECT * FROM freeflow",
@@ -634,6 +635,7 @@ _DOUBLES: dict[str, str] = {
     "coord_streets": "lat lon",
     "lane_health": "mean_speed",
     "measurements": "speed_sum",
+    "csv_mixed_headers": "speed_sum",
     "measurements_by_month": "speed_sum",
     "day_night": "day_speed night_speed",
     "free_flow": "free_flow_speed",

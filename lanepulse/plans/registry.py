@@ -165,6 +165,18 @@ def csv_load_report(s: Store) -> DataFrame:
     return cleaning.load_report(load.cells)
 
 
+@query
+def csv_mixed_headers(s: Store) -> DataFrame:
+    """Half of the feed under other column names in the same folder, read by one path."""
+    folder = f"{session_folder(s.spark)}/mixed-csv"
+    odd = F.col("detector_id") % 2 == 1
+    write_readings_csv(s.load.readings.where(odd), f"{folder}/a")
+    other = s.load.readings.where(~odd)
+    spelling = {"detector_id": "id_detector", "speed": "velocidad_promedio"}
+    write_readings_csv(other.select(*reversed(other.columns)), f"{folder}/b", spelling)
+    return Ingest(stage(read_readings(s.spark, f"{folder}/*"), "readings")).measurements
+
+
 @query
 def sites(s: Store) -> DataFrame:
     return s.load.sites.drop("site_key")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lanepulse import joins
 from lanepulse.operators import cleaning, lanes, quality
 from lanepulse.plans.ingest import Ingest, build_tables
-from lanepulse.sources.readings import pick_alias, read_readings, write_readings_csv
+from lanepulse.sources.readings import files_by_header, pick_alias, read_readings, write_readings_csv
 from lanepulse.sources.sample_feed import read_sample_feed
 from lanepulse.sources.tables import write_slice_csv
 
@@ -98,6 +98,51 @@ def test_csv_with_a_broken_value_stops(spark, tmp_path):
         read_readings(spark, path).collect()
 
 
+TAIL = "id_carril,fecha,hora,dsc_avenida,dsc_int_anterior,dsc_int_siguiente,latitud,longitud"
+
+
+def test_files_of_one_folder_may_have_other_headers(spark, tmp_path):
+    import gzip
+
+    write_text(tmp_path / "1.csv", f"cod_detector,{TAIL},velocidad\n1,1,2026-08-03,07:05:00,A,B,C,-34.9,-56.1,42\n")
+    write_text(tmp_path / "2.csv", f"\ufeffvelocidad_promedio,{TAIL},id_detector\n43,1,2026-08-03,07:05:00,A,B,C,-34.9,-56.1,2\n")
+    write_text(tmp_path / "3.csv", f"cod_detector,{TAIL},velocidad\n3,1,2026-08-03,07:05:00,A,B,C,-34.9,-56.1,44\n")
+    write_text(tmp_path / "none.csv", "")
+    with gzip.open(tmp_path / "4 b.csv.gz", "wt") as out:
+        out.write(f"id_detector,{TAIL},velocidad,more\n4,1,2026-08-03,07:05:00,A,B,C,-34.9,-56.1,,x\n")
+    assert sorted(len(f) for f in files_by_header(spark, str(tmp_path)).values()) == [1, 1, 2]
+    for path in (str(tmp_path), f"{tmp_path}/*", [f"{tmp_path}/[12].csv", f"{tmp_path}/3.csv", f"{tmp_path}/4*"]):
+        got = {(r.detector_id, r.speed) for r in read_readings(spark, path).collect()}
+        assert got == {(1, 42.0), (2, 43.0), (3, 44.0), (4, None)}
+    with pytest.raises(ValueError, match="no file with a header"):
+        read_readings(spark, f"{tmp_path}/none.csv")
+
+
+def test_a_blank_street_is_a_street(spark, tmp_path):
+    path = write_text(
+        tmp_path / "blank.csv",
+        f"cod_detector,{TAIL},velocidad\n1,1, 2026-08-03,07:05:00, ,B,C, -34.9 ,-56.1, 42 \n"
+        "2,1,2026-08-03,07:05:00,,B,C,-34.9,-56.1,  \n3,1,2026-08-03,07:05:00, A ,B,C,-34.9,-56.1,0\n",
+    )
+    clean = cleaning.clean_readings(read_readings(spark, path))
+    assert {(r.detector_id, r.street, r.speed) for r in clean.collect()} == {
+        (1, "", 42.0), (2, None, None), (3, "A", 0.0)
+    }
+    load = Ingest(read_readings(spark, path))
+    assert {r.street for r in load.detectors().collect()} == {"", "A"}
+    assert cleaning.load_report(load.cells).first().n_unjoinable == 1
+
+
+@pytest.mark.parametrize("line", [
+    "x,1,2026-08-03,07:05:00,A,B,C,-34.9,-56.1,1", "1,1,03/08/2026,07:05:00,A,B,C,-34.9,-56.1,1",
+    "1,1,2026-08-03,07:05:00,A,B,C,west,-56.1,1", "1,1,2026-08-03,07:05:00,A,B,C,-34.9",
+])
+def test_values_that_cannot_be_read_stop_the_job(spark, tmp_path, line):
+    path = write_text(tmp_path / "bad.csv", f"cod_detector,{TAIL},velocidad\n{line}\n")
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        read_readings(spark, path).collect()
+
+
 def test_build_tables_from_csv_equals_the_direct_load(spark, tmp_path):
     feed = read_sample_feed(spark, "/root/testdata/sf0.001")
     write_readings_csv(feed, str(tmp_path / "csv"), {"speed": "velocidad_promedio"})
