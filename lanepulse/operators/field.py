@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,16 +16,21 @@ from lanepulse.functions.geo import (
     x_km,
     y_km,
 )
-from lanepulse.joins import cell_join
+from lanepulse.joins import cell_join, small_side
 from lanepulse.operators.matching import CELL_MARGIN
 from lanepulse.params import DEFAULTS, Params
 from lanepulse.staging import stage
 
+# Names of the reach models.
 BLEND = "blend"
 NEAREST = "nearest"
 STUB = "stub"
 REACH_MODELS = (BLEND, NEAREST, STUB)
 
+# A distance below 100 km to 20 places, and after them a site number of 15 digits, fit one decimal.
+PLACES = 20
+SITE_DIGITS = 15
+
 CELL = ["corridor_id", "cx", "cy"]
 MIDPOINT = ["corridor_id", "mid_lon", "mid_lat"]
 
@@ -56,16 +62,35 @@ def _spots(sites: DataFrame, by: list[str], width: float, p: Params) -> DataFram
             F.count(F.lit(1)).alias("n"),
             # In site order, for sites at one spot.
             F.min("site_id").alias("first_id"),
-            F.min_by(reading, "site_id").alias("first_v"),
         )
         .withColumns(
             {"gx": grid_cell(F.col("sx"), width), "gy": grid_cell(F.col("sy"), width)}
         )
         .withColumn("c", F.explode(neighbour_cells("gx", "gy")))
-        .select(*by, "corridor_id", "c.cx", "c.cy", "sx", "sy", "v", "n", "first_id", "first_v")
+        .select(*by, "corridor_id", "c.cx", "c.cy", "sx", "sy", "v", "n", "first_id")
     )
 
 
+def _by_distance(d: Column, site: Column) -> Column:
+    """One decimal that orders by distance and then by site, so that a plain minimum finds both."""
+    behind = F.lit(Decimal(1).scaleb(-SITE_DIGITS)), F.lit(Decimal(1).scaleb(-PLACES))
+    fraction = (site.cast(f"decimal({SITE_DIGITS},0)") * behind[0]).cast(f"decimal({SITE_DIGITS + 1},{SITE_DIGITS})")
+    scale = PLACES + SITE_DIGITS
+    key = d.cast(f"decimal({PLACES + 2},{PLACES})").cast(f"decimal({scale + 2},{scale})") + (
+        fraction * behind[1]
+    ).cast(f"decimal({scale + 2},{scale})")
+    fits = (site >= 0) & (site < 10**SITE_DIGITS) & (d < 100)
+    odd = F.raise_error(F.lit(f"site numbers must have {SITE_DIGITS} digits at most, and reaches 99 km"))
+    return F.when(fits, key).otherwise(odd.cast(f"decimal({scale + 3},{scale})"))
+
+
+def _distance_and_site(key: Column) -> tuple[Column, Column]:
+    """What _by_distance() put together."""
+    text = F.to_char(key, F.lit("00." + "0" * (PLACES + SITE_DIGITS)))
+    d = F.substring(text, F.lit(1), F.length(text) - SITE_DIGITS).cast("double")
+    return d, F.right(text, F.lit(SITE_DIGITS)).cast("bigint")
+
+
 def street_field(
     chunks: DataFrame,
     sites: DataFrame,
@@ -84,21 +109,25 @@ def street_field(
     point is worked out once.
 
     `by` names columns of `sites` that tell slices apart, such as a period. Each
-    slice is then a field of its own over the chunks of corridors it has sites on.
+    slice is then a field of its own over all chunks, so the result is chunks times slices.
     """
     if mode not in REACH_MODELS:
         raise ValueError(f"{mode!r} names no way to reach a chunk; there are {REACH_MODELS}")
     reach = p.street_stub_km if mode == STUB else p.street_cutoff_km
     width = reach * CELL_MARGIN
     by = list(by)
-    readings = _one_per_site(sites, F.col(column).try_cast("double"), by)
+    readings = stage(_one_per_site(sites, F.col(column).try_cast("double"), by), "readings")
     spots = stage(_spots(readings, by, width, p), "spots")
     cell, midpoint = [*by, *CELL], [*by, *MIDPOINT]
+    asked = chunks
     if by:
-        chunks = chunks.join(spots.select(*by, "corridor_id").distinct(), "corridor_id")
+        # Midpoints only of corridors with sites, the result for all chunks.
+        asked = chunks.join(small_side(spots.select(*by, "corridor_id").distinct()), "corridor_id")
+        listed = sites.select(F.struct(*by).alias("s")).distinct().agg(F.collect_list("s")).scalar()
+        chunks = chunks.withColumn("s", F.explode(listed)).select("*", "s.*").drop("s")
 
     placed = (
-        chunks.select(*midpoint)
+        asked.select(*midpoint)
         .withColumns({"mx": x_km(F.col("mid_lon"), p), "my": y_km(F.col("mid_lat"), p)})
         .withColumns({"cx": grid_cell(F.col("mx"), width), "cy": grid_cell(F.col("my"), width)})
     )
@@ -116,14 +145,14 @@ def street_field(
             support.alias("support"), value.alias("value")
         )
     else:
-        # The gap first, then who stands at it: both passes keep plain numbers
-        # per midpoint, where ordering by distance and site would sort all pairs.
-        gaps = reached(placed).groupBy(*placed.columns).agg(F.min("d").alias("gap"))
+        nearest = F.min(_by_distance(F.col("d"), F.col("first_id"))).alias("nearest")
+        gap, site = _distance_and_site(F.col("nearest"))
         found = (
-            reached(gaps)
-            .where(F.col("d") == F.col("gap"))
-            .groupBy(*midpoint, "gap")
-            .agg(F.min_by("first_v", "first_id").alias("value"))
+            reached(placed)
+            .groupBy(*midpoint)
+            .agg(nearest)
+            .select(*midpoint, gap.alias("gap"), site.alias("site_id"))
+            .join(small_side(readings.select(*by, "site_id", F.col("reading").alias("value"))), [*by, "site_id"])
             .withColumn("support", gaussian(F.col("gap"), p.street_bandwidth_km))
         )
     supported = F.col("support") > 0

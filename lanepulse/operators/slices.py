@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanepulse.functions.clock import bucket_hour, bucket_label
@@ -156,9 +156,9 @@ def street_profile(
 
 
 def street_pivot(profile: DataFrame, streets: Sequence[str]) -> DataFrame:
-    """Times down, streets across, speeds to one decimal (ties to even)."""
+    """Times down (per period, if there are several), streets across, speeds to one decimal (ties to even)."""
     rounded = F.rint(F.col("speed") * 10) / 10
-    return profile.groupBy("time").pivot("street", list(streets)).agg(F.first(rounded))
+    return profile.groupBy(*period_of(profile), "time").pivot("street", list(streets)).agg(F.first(rounded))
 
 
 def with_metric(slice_: DataFrame, column: str) -> DataFrame:
@@ -167,14 +167,14 @@ def with_metric(slice_: DataFrame, column: str) -> DataFrame:
 
 
 def metric_gaps(slice_: DataFrame, column: str) -> DataFrame:
-    return slice_.agg(
+    return slice_.groupBy(*period_of(slice_)).agg(
         F.count(F.lit(1)).alias("n_sites"),
         F.count_if(F.col(column).isNull()).alias("n_without_metric"),
     )
 
 
 def metric_domain(slice_: DataFrame, column: str) -> DataFrame:
-    return slice_.agg(
+    return slice_.groupBy(*period_of(slice_)).agg(
         F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high")
     )
 
@@ -182,37 +182,55 @@ def metric_domain(slice_: DataFrame, column: str) -> DataFrame:
 def headline(
     slice_: DataFrame, profile: DataFrame, sites: DataFrame, *, all_day: bool = False
 ) -> DataFrame:
-    """City mean of the slice, its distance from the all-day mean, slowest site, zero share."""
-    whole_day = profile.agg(F.try_divide(F.sum("speed_sum"), F.sum("samples")).alias("v"))
-    total = sites.agg(F.count(F.lit(1)).alias("n"))
-    readings = F.sum("n_zero") + F.sum("n_moving")
+    """City mean of the slice, its distance from the all-day mean, slowest site, zero share.
+
+    One row, or one per period of `sites`, from the rows of that period alone.
+    """
+    keys = period_of(sites)
+    if not keys == period_of(slice_) == period_of(profile):
+        raise ValueError("slice, profile and sites must all have a period, or none")
+    whole_day = profile.groupBy(*keys).agg(
+        F.try_divide(F.sum("speed_sum"), F.sum("samples")).alias("all_day_mean")
+    )
+    total = sites.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sites"))
     # Both figures from the same row, which has a speed; equal speeds go by site.
     slowest = F.min_by(
         F.struct("speed", "street"),
         F.when(F.col("speed").isNotNull(), F.struct("speed", "site_id")),
     )
-    one = slice_.agg(
+    one = slice_.groupBy(*keys).agg(
         F.try_divide(F.sum("speed_sum"), F.sum("samples")).alias("mean_speed"),
         F.count(F.lit(1)).alias("n_reporting"),
         slowest["speed"].alias("slowest_speed"),
         slowest["street"].alias("slowest_street"),
-        (
-            F.coalesce(F.sum("n_zero"), F.lit(0))
-            / F.greatest(F.coalesce(readings, F.lit(0)), F.lit(1))
-        ).alias("zero_share"),
+        F.sum("n_zero").alias("zeros"),
+        F.sum(F.col("n_zero") + F.col("n_moving")).alias("readings"),
     )
+    if keys:
+        # One row per period on each side.
+        joined = total.join(one, keys, "left").join(whole_day, keys, "left")
+    else:
+        joined = one.withColumn("all_day_mean", whole_day.scalar()).withColumn("n_sites", total.scalar())
+    none = F.lit(0)
+    zero_share = F.coalesce("zeros", none) / F.greatest(F.coalesce("readings", none), F.lit(1))
     delta = F.lit(None).cast("double") if all_day else F.col("mean_speed") - F.col("all_day_mean")
-    return (
-        one.withColumn("all_day_mean", whole_day.scalar())
-        .withColumn("n_sites", total.scalar())
-        .withColumn("delta", delta)
+    return joined.select(
+        *keys,
+        "mean_speed",
+        F.coalesce("n_reporting", none).alias("n_reporting"),
+        "slowest_speed",
+        "slowest_street",
+        zero_share.alias("zero_share"),
+        "all_day_mean",
+        "n_sites",
+        delta.alias("delta"),
     )
 
 
 def profile_extremes(profile: DataFrame) -> DataFrame:
     """Lowest and highest mean with their times; the earliest bucket wins a tie."""
     known = profile.where(F.col("speed").isNotNull())
-    return known.agg(
+    return known.groupBy(*period_of(profile)).agg(
         F.min("speed").alias("low_speed"),
         F.min_by("time", F.struct("speed", "bucket")).alias("low_time"),
         F.max("speed").alias("high_speed"),
@@ -221,18 +239,21 @@ def profile_extremes(profile: DataFrame) -> DataFrame:
 
 
 def slowest(slice_: DataFrame, n: int = 12) -> DataFrame:
-    """The n slowest stretches; equal speeds in site order."""
-    return (
-        slice_.orderBy(F.asc_nulls_last("speed"), "site_id")
-        .limit(n)
-        .select(
-            "tramo", "speed", (F.col("congestion") * 100).alias("congestion_pct"), "samples"
-        )
+    """The n slowest stretches (of each period, if there are several); equal speeds in site order."""
+    keys, order = period_of(slice_), [F.asc_nulls_last("speed"), F.asc("site_id")]
+    if keys:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        first = slice_.withColumn("rank", rank).where(F.col("rank") <= n)
+    else:
+        first = slice_.orderBy(*order).limit(n)
+    return first.select(
+        *keys, "tramo", "speed", (F.col("congestion") * 100).alias("congestion_pct"), "samples"
     )
 
 
 def slice_export(slice_: DataFrame) -> DataFrame:
     return slice_.select(
+        *period_of(slice_),
         "street",
         "from_street",
         "to_street",

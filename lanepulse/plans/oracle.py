@@ -157,6 +157,14 @@ _TWO_WEEKS = {
 SELECT * FROM feed
 WHERE lat IS NOT NULL AND strftime(date_trunc('week', date), '%Y-%m-%d') IN ('2024-01-08', '2024-01-22')""",
 }
+
+def _renamed(tables: dict[str, str], prefix: str) -> dict[str, str]:
+    """The same tables under other names, so that both can be used at once."""
+    names = re.compile(rf"\b({'|'.join(tables)})\b")
+    return {prefix + k: names.sub(lambda m: prefix + m[0], sql) for k, sql in tables.items()}
+
+
+_TABLES.update(_renamed(_WEEKLY, "w_"))
 _VARIANTS = {
     "sites_over_loads": _LOADED,
     "detectors_from_weeks": _LOADED,
@@ -172,7 +180,9 @@ SELECT site_id, day_speed, night_speed
 FROM (SELECT DISTINCT site_id FROM kept WHERE dow BETWEEN 1 AND 5)
 LEFT JOIN rhythm USING (site_id)"""
 
-_TABLES["flagged"] = """
+
+def _flagged(table: str) -> str:
+    return f"""
 SELECT * RENAME (n_zero AS n_zero_total, n_readings AS n_readings_total,
                  n_missing AS n_missing_total),
        is_live AND NOT is_stalled AS is_usable
@@ -180,10 +190,18 @@ FROM (SELECT *, coalesce(mean_speed >= 3, false) AS is_live,
              coalesce(free_flow_speed >= 10, false) AS has_reference,
              coalesce(day_speed < 3 AND night_speed > 3 * day_speed, false) AS is_stalled,
              streets_at_coord <= 2 AS has_location
-      FROM detector)"""
+      FROM {table})"""
 
 
-def _slice(where: str, *, zeros: bool = False, floor: int = 3, sites: str, by: str = "") -> str:
+_TABLES["flagged"] = _flagged("detector")
+_TABLES["w_flagged"] = _flagged("w_detector")
+
+
+def _slice(
+    where: str, *, zeros: bool = False, floor: int = 3, sites: str, by: str = "", weekly: bool = False
+) -> str:
+    w = "w_" if weekly else ""
+    by = "period," if weekly else by
     n = "sum(n_moving + n_zero)" if zeros else "sum(n_moving)"
     lost = "1 - speed / free_flow_speed"
     return f"""
@@ -193,8 +211,8 @@ SELECT *, CASE WHEN has_reference THEN {_clip(lost)} END AS congestion,
 FROM (SELECT {by} site_id, coalesce(sum(speed_sum), 0) AS speed_sum, CAST({n} AS BIGINT) AS samples,
              CAST(sum(n_zero) AS BIGINT) AS n_zero, CAST(sum(n_moving) AS BIGINT) AS n_moving,
              {_mean('coalesce(sum(speed_sum), 0)', n)} AS speed
-      FROM {'scoped' if by else 'fact'} WHERE {where} GROUP BY {by} site_id HAVING {n} >= {floor})
-JOIN (SELECT * FROM flagged WHERE {sites}) USING (site_id)"""
+      FROM {'w_fact' if w else 'scoped' if by else 'fact'} WHERE {where} GROUP BY {by} site_id HAVING {n} >= {floor})
+JOIN (SELECT * FROM {w}flagged WHERE {sites}) USING ({"period," if w else ""} site_id)"""
 
 
 _WEEK = "dow BETWEEN 1 AND 5"
@@ -206,23 +224,33 @@ UNION ALL SELECT 'weekend', * FROM fact WHERE dow IN (0, 6)
 UNION ALL SELECT 'all', * FROM fact"""
 _TABLES["week_slice"] = _slice(_WEEK, sites=_MAPPED)
 _TABLES["evening"] = _slice(f"{_WEEK} AND bucket = 35", floor=1, sites=_MAPPED)
+_TABLES["w_slice"] = _slice(_WEEK, sites=_MAPPED, weekly=True)
+_TABLES["w_evening"] = _slice(f"{_WEEK} AND bucket = 35", floor=1, sites=_MAPPED, weekly=True)
 _TABLES["every_slice"] = _slice("true", sites=_MAPPED, by="scope, bucket,")
 _TABLES["every_slice_1"] = _slice("true", floor=1, sites=_MAPPED, by="scope, bucket,")
 
 
-def _profile(where: str, *, n: str = "sum(n_moving)", street: str = "") -> str:
+def _profile(
+    where: str, *, n: str = "sum(n_moving)", street: str = "", weekly: bool = False
+) -> str:
+    w, key = ("w_", "period, site_id") if weekly else ("", "site_id")
+    street = ("period," if weekly else "") + street
     return f"""
 SELECT *, {_label('bucket')} AS time, bucket * 30 / 60::DOUBLE AS hour
 FROM (SELECT {street} bucket, coalesce(sum(speed_sum), 0) AS speed_sum,
              CAST({n} AS BIGINT) AS samples,
              {_mean('coalesce(sum(speed_sum), 0)', n)} AS speed
-      FROM fact JOIN flagged USING (site_id) WHERE is_usable AND {where}
+      FROM {w}fact JOIN {w}flagged USING ({key}) WHERE is_usable AND {where}
       GROUP BY {street} bucket)"""
 
 
 _TABLES["week_profile"] = _profile(_WEEK)
 _TABLES["named_profile"] = _profile(f"{_WEEK} AND street IN {_STREETS}", street="street,")
 
+_TABLES["w_profile"] = _profile(_WEEK, weekly=True)
+_TABLES["w_named_profile"] = _profile(
+    f"{_WEEK} AND street IN {_STREETS}", street="street,", weekly=True)
+
 # --- surface by dense grid ---
 
 
@@ -268,6 +296,9 @@ _TABLES["jam_grid"] = _dense("jam_points", "jam_axes")
 _TABLES["speed_points"] = _points("week_slice", "speed")
 _TABLES["speed_axes"] = _axes("speed_points")
 _TABLES["speed_grid"] = _dense("speed_points", "speed_axes")
+_TABLES["w_points"] = _points("w_slice", "speed", "period,")
+_TABLES["w_axes"] = _axes("w_points", "period,")
+_TABLES["w_grid"] = _dense("w_points", "w_axes", "period,")
 _TABLES["frame_points"] = _points("every_slice_1", "speed", "scope, bucket,")
 _TABLES["frame_axes"] = _axes("frame_points", "scope, bucket,")
 _TABLES["frame_grid"] = _dense("frame_points", "frame_axes", "scope, bucket,")
@@ -435,6 +466,16 @@ _TABLES["reached_near"] = _reached("0.25")
 
 _FIELD = "corridor_id, way_id, segment, piece"
 
+_TABLES["w_reached"] = f"""
+SELECT chunk.*, period, site_id, speed AS v, d,
+       CASE WHEN d <= {_num('1.0')} THEN exp(-power(d / {_num('0.4')}, 2)) ELSE 0 END AS w
+FROM chunk CROSS JOIN (SELECT DISTINCT period FROM w_slice) LEFT JOIN (
+  SELECT period, way_id, segment, piece, site_id, speed,
+         sqrt(power(mid_lon * {_KX} - lon * {_KX}, 2) + power(mid_lat * {_KY} - lat * {_KY}, 2))
+             AS d
+  FROM w_slice JOIN matched USING (site_id) JOIN chunk USING (corridor_id))
+USING (period, way_id, segment, piece)"""
+
 
 def _closest(table: str) -> str:
     return f"""
@@ -477,6 +518,41 @@ _LOW, _HIGH = "min(samples) OVER ()", "max(samples) OVER ()"
 _EXPORT = """street, from_street, to_street, lat, lon, speed, congestion, vs_typical, samples,
        n_lanes"""
 
+
+def _headline(w: str) -> str:
+    """Of the whole input, or with `w` of each week."""
+    slice_, profile, group = (f"{w}evening", f"{w}profile", "GROUP BY period") if w else ("evening", "week_profile", "")
+    per, same = ("period,", "WHERE p.period = e.period") if w else ("", "")
+    return f"""
+SELECT {per} sum(speed_sum) / sum(samples) AS mean_speed, count(*) AS n_reporting,
+       min(speed) AS slowest_speed, arg_min(street, {{'s': speed, 'i': site_id}}) AS slowest_street,
+       sum(n_zero) / greatest(sum(n_zero) + sum(n_moving), 1) AS zero_share,
+       (SELECT sum(speed_sum) / sum(samples) FROM {profile} p {same}) AS all_day_mean,
+       (SELECT count(*) FROM {w}flagged p {same}) AS n_sites,
+       sum(speed_sum) / sum(samples)
+           - (SELECT sum(speed_sum) / sum(samples) FROM {profile} p {same}) AS delta
+FROM {slice_} e WHERE congestion IS NOT NULL {group}"""
+
+
+def _pivot(profile: str, per: str = "") -> str:
+    return f"""
+SELECT {per} time, max(CASE WHEN street = 'Street 1' THEN r END) AS "Street 1",
+       max(CASE WHEN street = 'Street 2' THEN r END) AS "Street 2",
+       max(CASE WHEN street = 'Street 4' THEN r END) AS "Street 4"
+FROM (SELECT {per} time, street, round_even(speed * 10, 0) / 10 AS r FROM {profile})
+GROUP BY {per} time"""
+
+
+def _counters(table: str, per: str = "") -> str:
+    return f"""
+SELECT {per} count(*) AS n_sites, count(*) FILTER (NOT is_live) AS n_flatlined,
+       count(*) FILTER (is_usable AND NOT has_reference) AS n_without_reference,
+       count(*) FILTER (is_usable AND NOT has_location) AS n_without_location,
+       count(*) FILTER (is_stalled) AS n_stalled, CAST(sum(n_dead_lanes) AS BIGINT) AS n_dead_lanes,
+       count(*) FILTER (is_usable AND n_dead_lanes > 0) AS n_sites_with_dead_lanes
+FROM {table} {f"GROUP BY {per.rstrip(',')}" if per else ""}"""
+
+
 _BODIES: dict[str, str] = {
     "reading_classes": """
 SELECT CASE WHEN speed IS NULL THEN 'missing' WHEN speed > 120 THEN 'implausible'
@@ -509,13 +585,25 @@ FROM placed SEMI JOIN (SELECT * FROM lane_state WHERE is_dead) USING (site_id, d
     "measurements_from_weeks": "SELECT * FROM fact",
     "site_flags": """
 SELECT site_id, is_live, has_reference, is_stalled, is_usable, has_location FROM flagged""",
-    "quality_counters": """
-SELECT count(*) AS n_sites, count(*) FILTER (NOT is_live) AS n_flatlined,
-       count(*) FILTER (is_usable AND NOT has_reference) AS n_without_reference,
-       count(*) FILTER (is_usable AND NOT has_location) AS n_without_location,
-       count(*) FILTER (is_stalled) AS n_stalled, CAST(sum(n_dead_lanes) AS BIGINT) AS n_dead_lanes,
-       count(*) FILTER (is_usable AND n_dead_lanes > 0) AS n_sites_with_dead_lanes
-FROM flagged""",
+    "quality_counters": _counters("flagged"),
+    "quality_counters_by_week": _counters("w_flagged", "period,"),
+    "slice_by_week": "SELECT * FROM w_slice",
+    "slice_headline_by_week": _headline("w_"),
+    "street_pivot_by_week": _pivot("w_named_profile", "period,"),
+    "profile_extremes_by_week": """
+SELECT period, min(speed) AS low_speed, arg_min(time, {'s': speed, 'b': bucket}) AS low_time,
+       max(speed) AS high_speed, arg_max(time, {'s': speed, 'b': -bucket}) AS high_time
+FROM w_profile WHERE speed IS NOT NULL GROUP BY period""",
+    "slowest_3_by_week": """
+SELECT period, tramo, speed, congestion * 100 AS congestion_pct, samples FROM w_slice
+QUALIFY row_number() OVER (PARTITION BY period ORDER BY speed, site_id) <= 3""",
+    "surface_by_week": """
+SELECT period, count(*) AS n_supported, sum(value) AS value_sum, sum(support) AS support_sum
+FROM w_grid WHERE support > 0 GROUP BY 1""",
+    "field_nearest_by_week": f"""
+SELECT period, {_FIELD}, CASE WHEN w > 0 THEN v END AS value, coalesce(w, 0) AS support
+FROM w_reached
+QUALIFY row_number() OVER (PARTITION BY period, way_id, segment, piece ORDER BY d, site_id) = 1""",
     "placeholder_count": "SELECT count(*) FILTER (streets_at_coord > 2) AS n_placeholder FROM detector",
     "site_key_check": """
 SELECT count(*) AS n_rows, count(DISTINCT site_id) AS n_keys,
@@ -541,21 +629,8 @@ FROM week_slice""",
     "city_profile": "SELECT * FROM week_profile",
     "city_profile_zeros": _profile("true", n="sum(n_moving + n_zero)"),
     "street_profile": "SELECT * FROM named_profile",
-    "street_pivot": """
-SELECT time, max(CASE WHEN street = 'Street 1' THEN r END) AS "Street 1",
-       max(CASE WHEN street = 'Street 2' THEN r END) AS "Street 2",
-       max(CASE WHEN street = 'Street 4' THEN r END) AS "Street 4"
-FROM (SELECT time, street, round_even(speed * 10, 0) / 10 AS r FROM named_profile)
-GROUP BY time""",
-    "slice_headline": """
-SELECT sum(speed_sum) / sum(samples) AS mean_speed, count(*) AS n_reporting,
-       min(speed) AS slowest_speed, arg_min(street, {'s': speed, 'i': site_id}) AS slowest_street,
-       sum(n_zero) / greatest(sum(n_zero) + sum(n_moving), 1) AS zero_share,
-       (SELECT sum(speed_sum) / sum(samples) FROM week_profile) AS all_day_mean,
-       (SELECT count(*) FROM flagged) AS n_sites,
-       sum(speed_sum) / sum(samples)
-           - (SELECT sum(speed_sum) / sum(samples) FROM week_profile) AS delta
-FROM evening WHERE congestion IS NOT NULL""",
+    "street_pivot": _pivot("named_profile"),
+    "slice_headline": _headline(""),
     "profile_extremes": """
 SELECT min(speed) AS low_speed, arg_min(time, {'s': speed, 'b': bucket}) AS low_time,
        max(speed) AS high_speed, arg_max(time, {'s': speed, 'b': -bucket}) AS high_time
@@ -657,6 +732,12 @@ _DOUBLES: dict[str, str] = {
     "city_profile": "speed_sum speed hour",
     "city_profile_zeros": "speed_sum speed hour",
     "street_profile": "speed_sum speed hour",
+    "slice_by_week": _SLICE_DOUBLES,
+    "slice_headline_by_week": "mean_speed slowest_speed zero_share all_day_mean delta",
+    "profile_extremes_by_week": "low_speed high_speed",
+    "slowest_3_by_week": "speed congestion_pct",
+    "surface_by_week": "value_sum support_sum",
+    "field_nearest_by_week": "value support",
     "slice_headline": "mean_speed slowest_speed zero_share all_day_mean delta",
     "profile_extremes": "low_speed high_speed",
     "slowest_1": "speed congestion_pct",

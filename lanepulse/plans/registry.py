@@ -104,6 +104,26 @@ class Store:
             kept.load(readings.where(inside), _week())
         return kept
 
+    @cached_property
+    def week_facts(self) -> DataFrame:
+        return stage(self._week_load.measurements, "week-measurements")
+
+    @cached_property
+    def week_sites(self) -> DataFrame:
+        return quality.flag_sites(stage(self._week_load.detectors(self.week_facts), "week-detectors"))
+
+    @cached_property
+    def _week_load(self) -> Ingest:
+        return Ingest(self.load.readings, _week())
+
+    @cached_property
+    def week_slices(self) -> DataFrame:
+        """Weekdays of each week as a period of its own."""
+        return stage(slices.site_slice(self.week_facts, self.week_sites, dows=WEEKDAY), "week-slices")
+
+    def week_profiles(self) -> DataFrame:
+        return slices.city_profile(self.week_facts, self.week_sites, dows=WEEKDAY)
+
     def profile(self) -> DataFrame:
         return slices.city_profile(self.facts, self.sites, dows=WEEKDAY)
 
@@ -227,7 +247,59 @@ def detectors(s: Store) -> DataFrame:
 
 @query
 def detectors_by_week(s: Store) -> DataFrame:
-    return Ingest(s.load.readings, _week()).detectors()
+    return s._week_load.detectors()
+
+
+@query
+def quality_counters_by_week(s: Store) -> DataFrame:
+    return quality.quality_counters(s.week_sites)
+
+
+@query
+def slice_by_week(s: Store) -> DataFrame:
+    return s.week_slices
+
+
+@query
+def slice_headline_by_week(s: Store) -> DataFrame:
+    """Evening of each week against that week's days."""
+    evening = slices.site_slice(s.week_facts, s.week_sites, dows=WEEKDAY, buckets=EVENING, min_samples=1)
+    return slices.headline(slices.with_metric(evening, "congestion"), s.week_profiles(), s.week_sites)
+
+
+@query
+def street_pivot_by_week(s: Store) -> DataFrame:
+    profile = slices.street_profile(s.week_facts, s.week_sites, streets=STREETS, dows=WEEKDAY)
+    return slices.street_pivot(profile, STREETS)
+
+
+@query
+def profile_extremes_by_week(s: Store) -> DataFrame:
+    return slices.profile_extremes(s.week_profiles())
+
+
+@query
+def slowest_3_by_week(s: Store) -> DataFrame:
+    return slices.slowest(s.week_slices, 3)
+
+
+@query
+def surface_by_week(s: Store) -> DataFrame:
+    """Supported cells, values and support of each week's surface."""
+    cells = surface.surface_cells(s.week_slices, "speed")
+    return cells.groupBy("period").agg(
+        F.count(F.lit(1)).alias("n_supported"),
+        F.sum("value").alias("value_sum"),
+        F.sum("support").alias("support_sum"),
+    )
+
+
+@query
+def field_nearest_by_week(s: Store) -> DataFrame:
+    """All chunks in each week, with the value of the nearest site of that week."""
+    placed = matching.with_corridor(s.week_slices, s.assigned)
+    fielded = field.street_field(s.chunks, placed, "speed", mode=field.NEAREST, by=["period"])
+    return fielded.select("period", "corridor_id", *roads.CHUNK_KEY, "value", "support")
 
 
 @query
