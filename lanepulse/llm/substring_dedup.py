@@ -1,15 +1,16 @@
 """Repeated paragraphs: MinHash bands, exact check, components, first place kept.
 
-A paragraph is a line of a document of at least MIN_WORDS words, or a piece: PIECE
-words across line ends, from a place on that the words themselves decide. Both are
-compared by their sets of word shingles; equal sets are one node. Bands are tuned for
-recall: a pair at the threshold is missed with the probability that miss_rate() gives.
-
-A piece starts where the hash of three words is the smallest of some WINDOW in a row.
-Whatever stands around it, a passage of PIECE + WINDOW - 1 = 51 words starts a piece
-that lies inside it at the same place wherever the passage stands. A repeated piece is
-widened by the equal words around it and the first one of its kind, which are fewer
-than WINDOW on either side unless the next piece is repeated as well.
+A paragraph is a line of a document of at least MIN_WORDS words. Lines are compared by
+their sets of word shingles; equal sets are one node. Bands are tuned for recall: a pair at
+the threshold is missed with the probability that miss_rate() gives.
+
+Passages inside and across lines are found by pieces of PIECE words, which start where the
+hash of three words is the smallest of some WINDOW in a row. Whatever stands around it, a
+passage of PIECE + WINDOW - 1 = 23 words holds a piece at the same place, so of a
+passage of 51 words with one word changed a piece is left. Equal pieces collide with the
+first of their kind; pieces in a row that collide with a row of the same document are one
+stretch. A stretch is widened on both sides by word edit distance: past a word that is changed,
+missing or added if RESUME equal words follow. It goes if it has LEAST words then.
 """
 
 from __future__ import annotations
@@ -35,13 +36,14 @@ MINIMA = 320
 # Three and a half standard deviations of the estimate below 0.8.
 FLOOR = 0.715
 BLOCK = 1 << 14
-PIECE = 24
-WINDOW = 28
+PIECE = 12
+WINDOW = 12
 GRAM = 3
-PIECE_ROWS = 2
-PIECE_MINIMA = 32
-# As FLOOR, with 0.075 for 32 minima.
-PIECE_FLOOR = 0.53
+# Words of a stretch that goes, at least.
+LEAST = 24
+# Words looked at on either side of a stretch: more than may lie between two pieces of one passage.
+SIDE = 40
+RESUME = 5
 
 
 def tuned_bands(threshold: int, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -116,47 +118,33 @@ def anchors(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return found[doc[found] == doc[found + PIECE - 1]]
 
 
-def _pieces(keys: np.ndarray, column):
-    """Blocks (nodes, pieces as bytes); a node is a document's key and the number of a word."""
-    data, offsets = K.flat(column)
-    for lo, hi in K.blocks(offsets):
-        text = data[offsets[lo] : offsets[hi]]
-        start, end, doc = K.words(text, offsets[lo : hi + 1] - offsets[lo])
-        at = anchors(K.word_hash(text, start, end), doc)
-        no = at - np.searchsorted(doc, doc[at])
-        at, no = at[no < 1 << LINE_BITS], no[no < 1 << LINE_BITS]
-        raw = text.tobytes()
-        nodes = (keys[lo:hi][doc[at]] << LINE_BITS) | no
-        spans = list(zip(start[at].tolist(), end[at + PIECE - 1].tolist()))
-        for k in range(0, len(at), BLOCK):
-            yield nodes[k : k + BLOCK], [raw[a:b] for a, b in spans[k : k + BLOCK]]
-
-
 def _keys(batch) -> np.ndarray:
     return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _sign_pieces(size: int, bands: int):
-    def run(batches):
-        for batch in batches:
-            for nodes, pieces in _pieces(_keys(batch), batch.column(1)):
-                yield from signed(nodes, pa.array(pieces, pa.binary()), size, bands, PIECE_ROWS, PIECE_MINIMA)
-
-    return run
-
-
-def _piece_texts(batches):
+def _name_pieces(batches):
+    """(node, name): a node is a document's key and the number of a word, a name the hash of its words."""
     for batch in batches:
-        for nodes, pieces in _pieces(_keys(batch), batch.column(1)):
+        keys, (data, offsets) = _keys(batch), K.flat(batch.column(1))
+        for lo, hi in K.blocks(offsets):
+            start, end, doc = K.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            hashes = K.word_hash(data[offsets[lo] : offsets[hi]], start, end)
+            at = anchors(hashes, doc)
+            no = at - np.searchsorted(doc, doc[at])
+            at, no = at[no < 1 << LINE_BITS], no[no < 1 << LINE_BITS]
+            sums = K.prefix_hash(hashes)
+            _, down = K.powers(len(hashes) + 1)
+            name = K.mix((sums[at + PIECE] - sums[at]) * down[at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes), pa.array(pieces, pa.binary()).cast(pa.string())], names=["node", "text"]
+                [pa.array((keys[lo:hi][doc[at]] << LINE_BITS) | no), pa.array(name.view(np.int64))],
+                names=["node", "name"],
             )
 
 
 def _repeated(
     signs: DataFrame, texts: DataFrame, *, size: int, threshold: int, count: int, floor: float
 ) -> DataFrame:
-    """(node, first, label) of all nodes that are not alone.
+    """(node, first, label) of nodes that have copies or a smaller node in their component.
 
     The first is the smallest node of the same set, the label the smallest that is linked.
     """
@@ -202,112 +190,136 @@ def repeated_lines(
     ).agg(F.collect_list(F.col("node").bitwiseAND(mask).cast("int")).alias("lines"))
 
 
-_AROUND = pa.schema([("node", pa.int64()), ("ref", pa.int64()), ("left", pa.int32()),
-                     ("words", pa.list_(pa.int32()))])
-
+_STRETCHES = pa.schema([(c, pa.int64()) for c in ("key", "start", "stop", "ref_key", "ref_start", "ref_stop")])
 
-def _around(batches):
-    """Hashes of the words of each repeated piece and around it, `left` of them before it.
 
-    Of a piece that none is held against, only the words up to the next one that goes count.
-    """
+def _stretches(batches):
+    """Pieces in a row that are held against a row of pieces of one document, as one stretch."""
     mask = (1 << LINE_BITS) - 1
     for batch in batches:
-        rows = [[] for _ in _AROUND]
-        for text, found in zip(batch.column("text"), batch.column("found")):
-            data = np.frombuffer(text.as_py().encode(), np.uint8)
+        rows = [[] for _ in _STRETCHES]
+        for key, found in zip(batch.column("key").to_pylist(), batch.column("found")):
+            found = found.values
+            at, first = (found.field(c).to_numpy() for c in ("at", "first"))
+            order = np.argsort(at)
+            at, first = at[order], first[order]
+            ref, there = first >> LINE_BITS, first & mask
+            new = np.ones(len(at), bool)
+            new[1:] = (ref[1:] != ref[:-1]) | (np.diff(at) != np.diff(there)) | (np.diff(at) > PIECE)
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(at)) - 1
+            columns = at[begin], at[end] + PIECE, ref[begin], there[begin], there[end] + PIECE
+            rows[0] += [key] * len(begin)
+            for row, column in zip(rows[1:], columns):
+                row += column.tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], schema=_STRETCHES)
+
+
+_EDGES = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("words", pa.list_(pa.int32()))])
+
+
+def _edges(batches):
+    """Hashes of the up to SIDE words that come before and after the places asked for.
+
+    Words after a place are given as they stand, words before it (`at` below 0, as ~at) backwards.
+    """
+    for batch in batches:
+        keys, places, words = [], [], []
+        for key, text, asked in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("asked")):
+            data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
             start, end, _ = K.words(data, np.array([0, len(data)]))
             hashes = K.word_hash(data, start, end).astype(np.uint32).view(np.int32)
-            found = sorted((f["node"], f["ref"], f["first"]) for f in found.as_py())
-            going = [node & mask for node, ref, _ in found if node != ref]
-            k = 0
-            for node, ref, first in found:
-                at, low, high = node & mask, 0, len(hashes)
-                if node != first:
-                    low = going[k - 1] + PIECE if k else low
-                    high = going[k + 1] if k + 1 < len(going) else high
-                k += node != ref
-                low = min(at, max(low, at - WINDOW))
-                high = max(at + PIECE, min(high, at + PIECE + WINDOW))
-                for row, value in zip(rows, (node, ref, at - low, hashes[low:high])):
-                    row.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _AROUND)], schema=_AROUND)
-
+            for at in asked.as_py():
+                keys.append(key)
+                places.append(at)
+                words.append(hashes[at : at + SIDE] if at >= 0 else hashes[max(0, ~at - SIDE) : ~at][::-1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(words, _EDGES.field(2).type)],
+            schema=_EDGES,
+        )
 
-def aligned(words: np.ndarray, left: int, others: np.ndarray, before: int) -> tuple[int, int, int]:
-    """(start, end, shift) of the equal words of two pieces and around them, from the piece's start.
 
-    Pieces may be shifted against each other. Words at the edges that differ are left
-    out; pieces linked by others only count whole.
-    """
-    best, same = -1, None
-    for d in (0, -1, 1, -2, 2):
-        # Word i of the piece stands at i + left here and i + d + before there.
-        low, high = max(-left, -before - d), min(len(words) - left, len(others) - before - d)
-        equal = words[low + left : high + left] == others[low + d + before : high + d + before]
-        n = int(np.count_nonzero(equal[max(-low, 0) : PIECE - low]))
-        if n > best:
-            best, same, base, shift = n, equal, low, d
-    if 2 * best < PIECE:
-        return 0, PIECE, 0
-    inside = np.flatnonzero(same[max(-base, 0) : PIECE - base]) + max(-base, 0)
-    start, end = int(inside[0]), int(inside[-1]) + 1
-    while start + base <= 0 and start > 0 and same[start - 1]:
-        start -= 1
-    while end + base >= PIECE and end < len(same) and same[end]:
-        end += 1
-    return start + base, end + base, shift
+def agreeing(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Words of a and of b from their start on that agree by edits with RESUME equal words after each."""
+    i = j = 0
+    while True:
+        n = min(len(a) - i, len(b) - j)
+        differ = np.flatnonzero(a[i : i + n] != b[j : j + n])
+        n = int(differ[0]) if len(differ) else n
+        i, j = i + n, j + n
+        for more, other in ((1, 1), (1, 0), (0, 1)):
+            ours, theirs = a[i + more : i + more + RESUME], b[j + other : j + other + RESUME]
+            if len(ours) == RESUME == len(theirs) and (ours == theirs).all():
+                i, j = i + more, j + other
+                break
+        else:
+            return i, j
 
 
 _SPANS = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def _spans(batches):
-    mask = (1 << LINE_BITS) - 1
+    sides = ("before", "ref_before", "after", "ref_after")
     for batch in batches:
         rows = [[] for _ in _SPANS]
-        node, ref, left, before = (batch.column(n).to_pylist() for n in ("node", "ref", "left", "ref_left"))
-        for k, (one, two) in enumerate(zip(batch.column("words"), batch.column("ref_words"))):
-            start, end, shift = aligned(one.values.to_numpy(), left[k], two.values.to_numpy(), before[k])
-            at, there = node[k] & mask, ref[k] & mask
-            start, stop = at + start, there + end + shift
-            if node[k] >> LINE_BITS == ref[k] >> LINE_BITS:
-                start = max(start, stop)
-            if start < at + end:
-                for row, value in zip(rows, (node[k] >> LINE_BITS, start, at + end)):
+        numbers = (batch.column(c).to_pylist() for c in ("key", "start", "stop", "ref_key", "ref_stop"))
+        words = [[x.values.to_numpy() for x in batch.column(c)] for c in sides]
+        for key, start, stop, ref, ref_stop, *around in zip(*numbers, *words):
+            start -= agreeing(around[0], around[1])[0]
+            more, other = agreeing(around[2], around[3])
+            stop += more
+            if key == ref:
+                # What a document repeats of itself begins after the words repeated.
+                start = max(start, ref_stop + other)
+            if stop - start >= LEAST:
+                for row, value in zip(rows, (key, start, stop)):
                     row.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _SPANS)], schema=_SPANS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], schema=_SPANS)
 
 
-def repeated_spans(rows: DataFrame, *, size: int = 5, threshold: int = 80) -> DataFrame:
+def repeated_spans(rows: DataFrame) -> DataFrame:
     """(key, start, end) in words of the spans that repeat earlier words; `rows` has key and text.
 
-    Earlier is as in repeated_lines(). A piece is held against the first of the same set,
-    or else the first of its component. It does not go for being like one that it
-    overlaps, and a span starts after the words of its own document it repeats.
+    Earlier is as in repeated_lines(). A piece is held against the first of its kind, so a
+    kind of any number of pieces makes that many rows. The words around stretches are asked
+    for once for each place of a document, however many stretches are held against it.
     """
     scan = rows.select("key", "text")
-    placed = _repeated(
-        scan.mapInArrow(_sign_pieces(size, tuned_bands(threshold, rows=PIECE_ROWS)), SIGNED),
-        scan.mapInArrow(_piece_texts, "node long, text string"),
-        size=size, threshold=threshold, count=PIECE_MINIMA, floor=PIECE_FLOOR,
-    )
-    overlaps = (F.shiftright("node", LINE_BITS) == F.shiftright("label", LINE_BITS)) & (
-        F.col("node") - F.col("label") < PIECE
-    )
-    ref = F.when(F.col("node") != F.col("first"), F.col("first")).when(overlaps, F.col("node")).otherwise(F.col("label"))
-    found = placed.withColumn("ref", ref).groupBy(F.shiftright("node", LINE_BITS).alias("key")).agg(
-        F.collect_list(F.struct("node", "ref", "first")).alias("found")
-    )
-    around = stage(
-        scan.join(found, "key").select("text", "found").mapInArrow(
-            _around, "node long, ref long, left int, words array<int>"
-        ), "around-pieces",
+    pieces = stage(scan.mapInArrow(_name_pieces, "node long, name long"), "pieces")
+    firsts = stage(pieces.groupBy("name").agg(
+        F.min("node").alias("first"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1").drop("n"), "piece-firsts")
+    mask = F.lit((1 << LINE_BITS) - 1).cast("bigint")
+    found = pieces.join(firsts, "name").where("node <> first").groupBy(
+        F.shiftright("node", LINE_BITS).alias("key")
+    ).agg(F.collect_list(F.struct(F.col("node").bitwiseAND(mask).alias("at"), "first")).alias("found"))
+    stretches = stage(found.mapInArrow(
+        _stretches, "key long, start long, stop long, ref_key long, ref_start long, ref_stop long"
+    ), "stretches")
+    places = [
+        (stretches.select(key, at)).toDF("key", "at")
+        for key, at in (("key", F.bitwise_not("start")), ("key", F.col("stop")),
+                        ("ref_key", F.bitwise_not("ref_start")), ("ref_key", F.col("ref_stop")))
+    ]
+    asked = places[0].union(places[1]).union(places[2]).union(places[3]).distinct().groupBy("key").agg(
+        F.collect_list("at").alias("asked")
     )
-    refs = around.select(
-        F.col("node").alias("ref"), F.col("left").alias("ref_left"), F.col("words").alias("ref_words")
+    edges = stage(
+        scan.join(asked, "key").select("key", "text", "asked").mapInArrow(
+            _edges, "key long, at long, words array<int>"
+        ), "words-around",
     )
-    return around.where("node <> ref").join(refs, "ref").mapInArrow(_spans, "key long, start long, end long")
+    around = stretches
+    for name, key, at in (
+        ("before", "key", F.bitwise_not("start")), ("after", "key", F.col("stop")),
+        ("ref_before", "ref_key", F.bitwise_not("ref_start")), ("ref_after", "ref_key", F.col("ref_stop")),
+    ):
+        side = edges.select(F.col("key").alias("edge_key"), F.col("at").alias("edge_at"), F.col("words").alias(name))
+        around = around.withColumn("place", at).join(
+            side, (F.col(key) == F.col("edge_key")) & (F.col("place") == F.col("edge_at"))
+        ).drop("place", "edge_key", "edge_at")
+    return around.mapInArrow(_spans, "key long, start long, end long")
 
 
 def repeated(
@@ -319,7 +331,7 @@ def repeated(
     """
     tuned_for(threshold)
     lines = repeated_lines(rows, size=size, threshold=threshold, min_words=min_words)
-    spans = repeated_spans(rows, size=size, threshold=threshold).groupBy("key").agg(
+    spans = repeated_spans(rows).groupBy("key").agg(
         F.collect_list(F.struct("start", "end")).alias("spans")
     ).select("key", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
     return stage(lines.join(spans, "key", "full"), "repeated-lines")
@@ -329,7 +341,7 @@ def without(text: str, gone: list[int], starts: list[int], ends: list[int]) -> t
     """The text without lines and spans of words, and the numbers of the lines that go whole.
 
     White space after a span goes with it, or before it at the end of a line. A line
-    whose words all go, goes. Under PIECE words of a span that are left beside a line
+    whose words all go, goes. Under LEAST words of a span that are left beside a line
     which goes are no passage of their own: whole lines among them stay.
     """
     last = (1 << LINE_BITS) - 1
@@ -350,7 +362,7 @@ def without(text: str, gone: list[int], starts: list[int], ends: list[int]) -> t
         going &= ~dropped
         edge = np.flatnonzero(np.diff(np.concatenate([[False], going, [False]])))
         for a, b in zip(edge[::2], edge[1::2]):
-            if b - a < PIECE and (dropped[a - 1 : a].any() or dropped[b : b + 1].any()):
+            if b - a < LEAST and (dropped[a - 1 : a].any() or dropped[b : b + 1].any()):
                 for no in np.unique(line_of[a:b]):
                     c, d = np.searchsorted(line_of, [no, no + 1])
                     if a <= c and d <= b:
@@ -418,7 +430,7 @@ def remove_paragraphs(
 
     Returns key, id, n_paragraphs, n_removed, removed (numbers of the lines that go
     whole), kept_sha256 and kept (the text; NULL stays NULL). Of a component of similar
-    lines or pieces the one at the smallest (id, place) stays. Lines under `min_words`
+    lines the one at the smallest (id, place) stays, of equal pieces the first. Lines under `min_words`
     words go only as part of a repeated passage. Rows that share an id are documents of
     their own in the order of their text, NULL ids first. Other columns are ignored; an
     empty table gives an empty result. The lines past the 16 millionth of a document
