@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,28 @@ def key_check(frame: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+# Frames known to have one row per key. A frame made from one of them is not among them.
+_CHECKED: WeakKeyDictionary[DataFrame, list[str]] = WeakKeyDictionary()
+
+
+def checked_once(frame: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """`frame`, after a look that it has one row per key, which is not repeated for each of its uses.
+
+    By default the key is that of a site. Hand in a stored table: what is read later has to be what was
+    looked at.
+    """
+    keys = [*period_of(frame), "site_id"] if keys is None else keys
+    if not repeated_keys(frame, keys).isEmpty():
+        raise ValueError(f"several rows for one value of {', '.join(keys)}")
+    _CHECKED[frame] = keys
+    return frame
+
+
+def is_checked(frame: DataFrame, keys: list[str]) -> bool:
+    """Whether checked_once() returned this very frame, for these keys."""
+    return _CHECKED.get(frame) == keys
+
+
 def one_per_key(frame: DataFrame, keys: list[str]) -> DataFrame:
     """`frame` as it is, keys first; a repeated key stops the job that reads it."""
     rest = [c for c in frame.columns if c not in keys]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lanepulse.functions.clock import bucket_hour, bucket_label
 from lanepulse.functions.geo import clamp
-from lanepulse.operators.quality import one_per_key
+from lanepulse.operators.quality import is_checked, one_per_key
 from lanepulse.params import DAY_SCOPES, DEFAULTS, Params, period_of
 
 
@@ -84,7 +84,8 @@ def site_slice(
 
     `by` names further fact columns to keep apart, for instance `bucket` for
     every half hour of the day in one job. Facts and sites are both per period or
-    both over the whole input; a site with two rows stops the job.
+    both over the whole input; a site with two rows stops the job. Sites that went through
+    `quality.checked_once` are not looked at again.
     """
     if period_of(facts) != period_of(sites):
         raise ValueError("facts and sites must both have a period, or neither")
@@ -95,12 +96,15 @@ def site_slice(
         .where(F.col("samples") >= floor)
         .withColumn("speed", _mean())
     )
+    known = is_checked(sites, keys)
     if only_usable:
         sites = sites.where("is_usable")
     if located_only:
         sites = sites.where("has_location")
+    if not known:
+        sites = one_per_key(sites, keys)
     lost = 1 - F.try_divide(F.col("speed"), F.col("free_flow_speed"))
-    return sums.join(one_per_key(sites, keys), keys).withColumns(
+    return sums.join(sites, keys).withColumns(
         {
             # No figure, rather than zero, where the reference is too small.
             "congestion": F.when(F.col("has_reference"), clamp(lost, 0.0, 1.0)),

@@ -63,7 +63,7 @@ class Store:
 
     @cached_property
     def sites(self) -> DataFrame:
-        return quality.flag_sites(stage(self.load.detectors(self.facts), "detectors"))
+        return quality.checked_once(quality.flag_sites(stage(self.load.detectors(self.facts), "detectors")))
 
     @cached_property
     def ways(self) -> DataFrame:
@@ -110,7 +110,8 @@ class Store:
 
     @cached_property
     def week_sites(self) -> DataFrame:
-        return quality.flag_sites(stage(self._week_load.detectors(self.week_facts), "week-detectors"))
+        return quality.checked_once(
+            quality.flag_sites(stage(self._week_load.detectors(self.week_facts), "week-detectors")))
 
     @cached_property
     def _week_load(self) -> Ingest:
