@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanepulse.staging import stage
+from lanepulse.staging import stage, stage_observed
 
 # Up to this many rows one ordered task is cheaper than a range exchange.
 ROWS_PER_SLICE = 500_000
 
 
+def with_offsets(groups: DataFrame, order_by: list[str]) -> DataFrame:
+    """Groups with `before`, the sum of `n` over the groups that come earlier; a short table, in one task."""
+    earlier = Window.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    return groups.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+
+
 def dense_ids(
     rows: DataFrame,
     order_by: list[str],
@@ -27,8 +33,8 @@ def dense_ids(
     cannot disagree about it.
     """
     order = [F.asc_nulls_last(c) for c in order_by]
-    rows = stage(rows, f"rows-for-{id_column}")
-    slices = -(-rows.count() // rows_per_slice)
+    rows, seen = stage_observed(rows, f"rows-for-{id_column}", n=F.count(F.lit(1)))
+    slices = -(-seen["n"] // rows_per_slice)
     if slices <= 1:
         rank = F.row_number().over(Window.orderBy(*order)).cast("bigint")
         return stage(rows.select((rank + (start - 1)).alias(id_column), "*"), id_column)
@@ -40,12 +46,7 @@ def dense_ids(
         f"slices-for-{id_column}",
     )
     # One row per slice, so the running total is over a short table.
-    before = (
-        F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    )
-    offsets = sliced.groupBy("slice").agg(F.count("*").alias("n")).select(
-        "slice", F.coalesce(before, F.lit(0)).alias("before")
-    )
+    offsets = with_offsets(sliced.groupBy("slice").agg(F.count("*").alias("n")), ["slice"]).drop("n")
     rank = F.row_number().over(Window.partitionBy("slice").orderBy(*order))
     numbered = (
         sliced.withColumn("rank", rank)

@@ -11,7 +11,7 @@ from lanepulse.functions.geo import distance, grid_cell, x_km, y_km
 from lanepulse.functions.names import name_key
 from lanepulse.operators.numbering import dense_ids
 from lanepulse.params import DEFAULTS, Params
-from lanepulse.staging import stage
+from lanepulse.staging import stage, stage_observed
 
 CHUNK_KEY = ["way_id", "segment", "piece"]
 
@@ -124,26 +124,22 @@ def _contract(links: DataFrame) -> DataFrame:
     return moved.where(F.col("hi") != F.col("lo")).union(hooks).distinct()
 
 
-def _fingerprint(links: DataFrame) -> tuple:
-    row = links.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h"),
-        F.sum("lo").alias("s"),
-    ).first()
-    return tuple(row)
+def _written(links: DataFrame) -> tuple[DataFrame, dict]:
+    """Links as written, with what tells one set of links from another, taken in the write."""
+    return stage_observed(
+        links, "links", n=F.count(F.lit(1)), h=F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), s=F.sum("lo")
+    )
 
 
 def component_labels(links: DataFrame) -> DataFrame:
-    """Lowest reachable node per linked node, as (node, label).
+    """Lowest reachable node per linked node, as (node, label); the lowest itself has no row.
 
-    Each round is written down and compared with the one before; the number of
-    rounds grows with the logarithm of the longest chain.
+    Each round is one job: it is written down and compared with the one before by figures taken
+    in the write. The number of rounds grows with the logarithm of the longest chain.
     """
-    links = stage(links, "links")
-    seen = _fingerprint(links)
+    links, seen = _written(links)
     while True:
-        links = stage(_contract(links), "links")
-        now = _fingerprint(links)
+        links, now = _written(_contract(links))
         if now == seen:
             return links.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
         seen = now

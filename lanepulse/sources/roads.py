@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanepulse.operators.numbering import dense_ids
+from lanepulse.joins import small_side
+from lanepulse.operators.numbering import with_offsets
+from lanepulse.staging import stage
 
 DOCUMENT = T.StructType(
     [
@@ -56,28 +58,30 @@ def read_ways(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
             .option("mode", "FAILFAST")
             .json(path)
         )
+        kept = F.filter("elements", lambda e: (F.size(e["geometry"]) > 0) & (
+            F.coalesce(F.length(e["tags"]["name"]), F.lit(0)) > 0))
         groups.append(
             documents.select(
                 F.lit(index).alias("source"),
                 F.col("_metadata.file_path").alias("file"),
-                F.posexplode("elements").alias("position", "element"),
-            )
+                # A file is read by one task, so this follows the order of its documents.
+                F.monotonically_increasing_id().alias("document"),
+                kept.alias("kept"),
+            ).select("source", "file", "document", F.posexplode("kept").alias("position", "element"))
         )
-    elements = reduce(DataFrame.unionByName, groups)
-    named = elements.where(
-        (F.size("element.geometry") > 0)
-        & (F.coalesce(F.length("element.tags.name"), F.lit(0)) > 0)
-    ).select(
-        "source",
-        "file",
-        "position",
-        F.col("element.tags.name").alias("name"),
-        F.transform(
-            "element.geometry",
-            lambda point: F.struct(point["lon"].alias("lon"), point["lat"].alias("lat")),
-        ).alias("coords"),
+    # Positions have no gaps, so a number is the position and the ways of earlier documents:
+    # coordinates are written once, and only their counts are put in order.
+    ways = stage(
+        reduce(DataFrame.unionByName, groups).select(
+            "source", "file", "document", "position", F.col("element.tags.name").alias("name"),
+            F.transform(
+                "element.geometry",
+                lambda point: F.struct(point["lon"].alias("lon"), point["lat"].alias("lat")),
+            ).alias("coords"),
+        ), "read-ways",
     )
-    # A document is parsed by one task; numbering spreads its ways over the cluster.
-    return dense_ids(named, ["source", "file", "position"], "way_id", start=0).select(
-        "way_id", "name", "coords"
+    key = ["source", "file", "document"]
+    counts = with_offsets(ways.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key).drop("n")
+    return ways.join(small_side(stage(counts, "ways-before")), key).select(
+        (F.col("before") + F.col("position")).alias("way_id"), "name", "coords"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +37,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_observed(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """stage(), with aggregates over the rows that are taken while they are written, not by a job of their own."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]), label)
+    return staged, seen.get
+
+
 def discard_staged(spark: SparkSession) -> None:
     """Delete this session's staged tables; call when the outputs are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
