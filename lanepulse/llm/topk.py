@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanepulse.joins import small_side
+from lanepulse.llm.hard_negatives import fitted, integers
 from lanepulse.staging import stage
 
 PIVOTS = 48
@@ -26,30 +28,21 @@ QUERY_ROWS = 1024
 SCALE = 256
 
 
-def _whole(column) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Which rows hold finite vectors, and these as integers floor(SCALE * x)."""
-    good, vectors = [], []
-    for value in column:
-        value = value.as_py()
-        if value is None or any(x is None for x in value):
-            good.append(False)
-            continue
-        v = np.array(value, np.float64)
-        if not np.isfinite(v).all():
-            good.append(False)
-            continue
-        good.append(True)
-        vectors.append(np.floor(SCALE * v))
-    return np.array(good, bool), vectors
-
-
-def _integers(batches):
+def _finite(batches):
+    """Rows whose vectors hold finite numbers only: the vector as doubles, its square as integers, its width."""
     for batch in batches:
-        good, vectors = _whole(batch.column(1))
-        kept = batch.column(0).filter(pa.array(good, pa.bool_()))
+        good, vectors = [], []
+        for value in batch.column(1):
+            value = value.as_py()
+            vector = None if value is None or None in value else np.array(value, "<f8")
+            good.append(vector is not None and bool(np.isfinite(vector).all()))
+            if good[-1]:
+                vectors.append(vector)
+        scaled = [np.floor(SCALE * v) for v in vectors]
         yield pa.RecordBatch.from_arrays(
-            [kept, pa.array([v.astype("<f8").tobytes() for v in vectors], pa.binary()),
-             pa.array([float(v @ v) for v in vectors], pa.float64()),
+            [batch.column(0).filter(pa.array(good, pa.bool_())),
+             pa.array([v.tobytes() for v in vectors], pa.binary()),
+             pa.array([float(v @ v) for v in scaled], pa.float64()),
              pa.array([len(v) for v in vectors], pa.int32())],
             names=["id", "vector", "square", "width"],
         )
@@ -84,6 +77,11 @@ def _extended(vectors: np.ndarray, bound: float, query: bool) -> np.ndarray:
 
 
 def _matrix(column) -> np.ndarray:
+    """Vectors as integers in doubles; rounded where components pass 2**53, so for distances only."""
+    return np.floor(SCALE * _stored(column))
+
+
+def _stored(column) -> np.ndarray:
     rows = [np.frombuffer(x.as_py(), "<f8") for x in column]
     return np.stack(rows) if rows else np.zeros((0, 0))
 
@@ -96,9 +94,9 @@ def _keyed(pivots: np.ndarray, bound: float):
             far = distances(_extended(_matrix(batch.column("vector")), bound, False), pivots)
             near = far.argmin(1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("vector"), pa.array(near.astype(np.int32)),
+                [batch.column("key"), batch.column("id"), batch.column("vector"), pa.array(near.astype(np.int32)),
                  pa.array(far[np.arange(len(far)), near])],
-                names=["id", "vector", "pivot", "distance"],
+                names=["key", "id", "vector", "pivot", "distance"],
             )
 
     return run
@@ -130,39 +128,46 @@ def _reach(pivots: np.ndarray, bound: float, rings: list[dict], k: int, first: b
                 take = seen
             else:
                 square = (vectors**2).sum(1)
-                # Distances carry rounding errors; half a unit of score is more than those.
-                best = (square[:, None] + bound - gap**2) / 2 + 0.5
+                # Distances and products carry rounding errors, which grow with the squares they come from.
+                slack = 0.5 + 1e-9 * (square[:, None] + bound)
+                best = (square[:, None] + bound - gap**2) / 2 + slack
                 floor = np.array([-np.inf if x is None else x for x in batch.column("score").to_pylist()])
                 take = ~seen & (best >= floor[:, None])
             row, ring = np.nonzero(take)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(row)), batch.column("vector").take(pa.array(row)),
-                 pa.array(ring.astype(np.int32))], names=["query_id", "query", "ring"],
+                [*(batch.column(c).take(pa.array(row)) for c in ("key", "id", "vector", "shard")),
+                 pa.array(ring.astype(np.int32))], names=["query_key", "query_id", "query", "shard", "ring"],
             )
 
     return run
 
 
+_FOUND = "query_key long, query_id long, vec_id long, score long"
+
+
 def _search(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    names = ["query_key", "query_id", "vec_id", "score"]
 
     def run(queries: pa.Table, cell: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        out = [[], [], [], []]
         if queries.num_rows and cell.num_rows:
             ids = cell["id"].to_numpy()
-            order = np.argsort(ids)
+            order = np.argsort(ids, kind="stable")
             ids = ids[order]
-            rows = _matrix(cell["vector"])[order]
-            asked = queries["query_id"].to_numpy()
-            scores = (_matrix(queries["query"]) @ rows.T).astype(np.int64)
-            for q, row in zip(asked, scores):
+            # Exact products: doubles, 64-bit or Python integers, as the components ask for.
+            rows, wanted = fitted(
+                integers(cell["vector"].take(pa.array(order)).to_pylist()), integers(queries["query"].to_pylist())
+            )
+            scores = wanted @ rows.T
+            for key, q, row in zip(queries["query_key"].to_pylist(), queries["query_id"].to_pylist(), scores):
                 # Ties go to the smaller id: ids ascend and the sort is stable.
-                best = np.argsort(-row, kind="stable")[: k + 1]
+                best = np.argsort(-row, kind="stable")
                 best = best[ids[best] != q][:k]
-                out[0] += [q] * len(best)
-                out[1] += ids[best].tolist()
-                out[2] += row[best].tolist()
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
+                out[0] += [key] * len(best)
+                out[1] += [q] * len(best)
+                out[2] += ids[best].tolist()
+                out[3] += [int(x) for x in row[best]]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
 
     return run
 
@@ -174,73 +179,116 @@ def top_k(
     """(query_id, rank, vec_id, score) of the k best other rows for each query.
 
     Queries are the ids divisible by `every`. Scores are inner products of the
-    vectors as integers floor(256 * x); ties go to the smaller id. Vectors that are
-    NULL or hold a NULL or non-finite component, and rows without id, take no part.
-    Vectors of the most frequent width (the larger on a tie) are compared, others
-    take no part. Of rows that share an id the smallest vector counts. Other columns
-    are ignored; an empty table, or one vector, gives no rows.
+    vectors as integers floor(256 * x), exact at any size; ties go to the smaller id, and one
+    beyond 64 bits stops the job. Vectors that are NULL or hold a NULL or non-finite
+    component, and rows without id, take no part. Rows that share an id are candidates and
+    queries of their own, but not candidates of a query with that id. Vectors meet those of
+    their own width: the most frequent width (the larger on a tie) through the index, the rest
+    in plain blocks. Other columns are ignored; an empty table, or one vector, gives no rows.
     """
     rows = vectors.select(
         F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).cast("array<double>").alias("vector")
     ).where("id is not null and vector is not null")
-    whole = rows.mapInArrow(_integers, "id long, vector binary, square double, width int").where("width > 0")
-    whole = whole.groupBy("id").agg(F.min(F.struct("width", "vector", "square")).alias("v")).select("id", "v.*")
-    whole = stage(whole, "integer-vectors")
-    widths = whole.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.max("square").alias("square"))
+    whole = rows.mapInArrow(_finite, "id long, vector binary, square double, width int")
+    whole = stage(whole.withColumn("key", F.monotonically_increasing_id()), "finite-vectors")
+    widths = whole.where("width > 0").groupBy("width").agg(
+        F.count(F.lit(1)).alias("n"), F.max("square").alias("square"))
     common = widths.orderBy(F.desc("n"), F.desc("width")).first()
-    schema = "query_id long, rank int, vec_id long, score long"
-    if common is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    whole = whole.where(F.col("width") == common["width"])
-    bound = float(common["square"])
+    width = common["width"] if common else -1
+    found = _in_blocks(whole.where(F.col("width") != width), k, every, cell_rows, query_rows)
+    if common:
+        if not common["square"] < 1e300:
+            raise OverflowError("vectors are too long to be compared")
+        bound = float(common["square"])
+        found = found.unionByName(
+            _by_index(whole.where(F.col("width") == width), bound, k, every, cell_rows, query_rows)
+        )
+    best_first = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best_first))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _in_blocks(whole: DataFrame, k: int, every: int, cell_rows: int, query_rows: int) -> DataFrame:
+    """Every query against every row of its width, in blocks of bounded size."""
+    query = F.col("id") % every == 0
+    sizes = stage(whole.groupBy("width").agg(
+        F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("parts"),
+        F.greatest(F.lit(1), F.ceil(F.sum(query.cast("int")) / query_rows)).cast("int").alias("shards"),
+    ), "widths")
+    drawn = F.xxhash64("key")
+
+    def all_of(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    sized = whole.join(small_side(sizes), "width")
+    cells = sized.select(
+        "width", "id", "vector", F.pmod(drawn, F.col("parts")).cast("int").alias("part"), all_of("shards").alias("shard")
+    )
+    asked = sized.where(query).select(
+        F.col("width").alias("width"), F.col("key").alias("query_key"), F.col("id").alias("query_id"),
+        F.col("vector").alias("query"), all_of("parts").alias("part"),
+        F.pmod(drawn, F.col("shards")).cast("int").alias("shard"),
+    )
+    keys = ["width", "part", "shard"]
+    return asked.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInArrow(_search(k), _FOUND)
+
+
+def _by_index(
+    whole: DataFrame, bound: float, k: int, every: int, cell_rows: int, query_rows: int
+) -> DataFrame:
+    """The same for vectors of one width, leaving out annuli that hold nothing good enough."""
     sample = whole.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
-    points = np.stack([np.frombuffer(r["vector"], "<f8") for r in sample])
+    points = np.floor(SCALE * np.stack([np.frombuffer(r["vector"], "<f8") for r in sample]))
     pivots = choose_pivots(_extended(points, bound, False), PIVOTS)
 
     keyed = stage(
-        whole.select("id", "vector").mapInArrow(
-            _keyed(pivots, bound), "id long, vector binary, pivot int, distance double"
+        whole.select("key", "id", "vector").mapInArrow(
+            _keyed(pivots, bound), "key long, id long, vector binary, pivot int, distance double"
         ), "pivot-keys",
     )
     shares = [i / RINGS for i in range(1, RINGS)]
     cuts = keyed.groupBy("pivot").agg(F.percentile_approx("distance", shares, 1000).alias("cuts"))
     at = F.size(F.array_distinct(F.filter("cuts", lambda c: c < F.col("distance"))))
     ringed = stage(keyed.join(F.broadcast(cuts), "pivot").withColumn("at", at).drop("cuts"), "rings")
+    query = F.col("id") % every == 0
     # PIVOTS * RINGS rows at most, whatever the number of vectors.
     found = ringed.groupBy("pivot", "at").agg(
-        F.min("distance").alias("low"), F.max("distance").alias("high"), F.count(F.lit(1)).alias("n")
+        F.min("distance").alias("low"), F.max("distance").alias("high"), F.count(F.lit(1)).alias("n"),
+        F.sum(query.cast("int")).alias("queries"),
     ).orderBy("pivot", "at").collect()
     rings = [r.asDict() for r in found]
-    cells = [(r["pivot"], r["at"], i, max(1, -(-r["n"] // cell_rows))) for i, r in enumerate(rings)]
-    spark = vectors.sparkSession
-    cells = spark.createDataFrame(cells, "pivot int, at int, ring int, parts int")
-    cells = F.broadcast(cells)
-    asked = ringed.where(F.col("id") % every == 0).select("id", "vector")
-    shards = max(1, -(-asked.count() // query_rows))
-    # An annulus of many rows is split; queries are dealt out so that a task has a bounded number.
-    placed = ringed.join(cells, ["pivot", "at"]).select(
-        "id", "vector", "ring", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-    )
+    cells, before = [], 0
+    for i, r in enumerate(rings):
+        cells.append((r["pivot"], r["at"], i, max(1, -(-r["n"] // cell_rows)), before, max(1, r["queries"])))
+        before += r["queries"]
+    cells = F.broadcast(whole.sparkSession.createDataFrame(
+        cells, "pivot int, at int, ring int, parts int, before long, queries long"
+    ))
+    drawn = F.xxhash64("key")
+    placed = ringed.join(cells, ["pivot", "at"])
+    # Queries of neighbouring annuli search the same cells, so they are dealt out together.
+    shard = F.floor((F.col("before") + F.pmod(drawn, F.col("queries"))) / query_rows).cast("int")
+    asked = stage(placed.where(query).select("key", "id", "vector", shard.alias("shard")), "queries")
+    members = placed.select("id", "vector", "ring", F.pmod(drawn, F.col("parts")).cast("int").alias("part"))
     parts = cells.select("ring", "parts")
 
     def searched(queries: DataFrame, first: bool) -> DataFrame:
         to = queries.mapInArrow(
-            _reach(pivots, bound, rings, k, first), "query_id long, query binary, ring int"
-        ).join(parts, "ring").select(
-            "query_id", "query", "ring",
-            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-            F.pmod(F.xxhash64("query_id"), F.lit(shards)).cast("int").alias("shard"),
-        )
-        return (
-            to.groupBy("ring", "part", "shard").cogroup(placed.groupBy("ring", "part", "shard"))
-            .applyInArrow(_search(k), "query_id long, vec_id long, score long")
+            _reach(pivots, bound, rings, k, first),
+            "query_key long, query_id long, query binary, shard int, ring int",
         )
-
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        to = stage(to.join(parts, "ring").select(
+            "query_key", "query_id", "query", "ring", "shard",
+            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        ), "asked-cells")
+        # A cell goes to the shards that ask for it.
+        wanted = to.select(F.col("ring").alias("ring"), F.col("part").alias("part"), F.col("shard").alias("shard"))
+        sent = members.join(small_side(stage(wanted.distinct(), "wanted-cells")), ["ring", "part"])
+        keys = ["ring", "part", "shard"]
+        return to.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_search(k), _FOUND)
+
+    best_first = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
     near = stage(searched(asked, True), "near-scores")
     floor = near.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") == k)
-    floors = floor.select(F.col("query_id").alias("id"), "score")
-    rest = searched(asked.join(floors, "id", "left"), False)
-    ranked = near.unionByName(rest).withColumn("rank", F.row_number().over(best_first))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    floors = floor.select(F.col("query_key").alias("key"), "score")
+    return near.unionByName(searched(asked.join(floors, "key", "left"), False))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanepulse.llm import hard_negatives, license_scan, periodic_runs, queries
+from lanepulse.llm import hard_negatives, license_scan, periodic_runs, queries, substring_dedup, topk
 
 DOCS = "doc_id long, text string"
 
@@ -315,3 +315,61 @@ def test_reading_stops_before_the_lists_end():
         lists, np.array([256.0, -40.0]), ids, np.ones(5000, bool), [(None, None)], 5
     )
     assert best.tolist() == sorted(rows @ np.array([256.0, -40.0]), reverse=True)[:5]
+
+
+@pytest.mark.parametrize("scale", [1, 1e6, 1e-3])
+def test_top_k_is_exact_for_large_components_shared_ids_and_other_widths(spark, scale):
+    rng = random.Random(4)
+    vector = lambda n: [rng.gauss(0.3, 1) * scale for _ in range(n)]
+    rows = [(i, vector(8)) for i in range(260)] + [(i, vector(8)) for i in (3, 3, 100, 77)]
+    rows += [(500 + i, vector(3)) for i in range(60)] + [(700, []), (701, []), (750, vector(5)), (50, None)]
+    whole = [(i, [floor(256 * x) for x in v]) for i, v in rows if v is not None]
+    want = []
+    for q, a in whole:
+        if q % 50 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q and len(a) == len(b))
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit(1)).repartition(3)
+    for cells in ({}, {"cell_rows": 17, "query_rows": 2}):
+        got = topk.top_k(df, **cells).select("query_id", "rank", "vec_id", "score").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_passages_with_a_changed_word_go_at_every_place(spark):
+    rng = random.Random(3)
+    words = lambda n: ["w%d" % rng.randrange(9000) for _ in range(n)]
+    rows, exact, near = [], {}, {}
+    for length in (51, 60, 90, 200):
+        for at in range(0, length, max(1, length // 25)):
+            k, passage = len(near), words(length)
+            rows.append((k, " ".join(words(70) + passage + words(70))))
+            changed = list(passage)
+            if at % 3 == 0:
+                changed[at] = "changed"
+            elif at % 3 == 1:
+                changed.insert(at, "added")
+            else:
+                del changed[at]
+            before, after = words(80), words(80)
+            rows.append((10_000 + k, " ".join(before + changed + after)))
+            near[10_000 + k] = len(before) + len(after)
+            before, after = words(33), words(90)
+            rows.append((20_000 + k, "\n".join([" ".join(before + passage[:30]), " ".join(passage[30:] + after)])))
+            exact[20_000 + k] = before + after
+    df = spark.createDataFrame(rows, DOCS).withColumn("found", F.lit("clash")).repartition(4)
+    got = {r["id"]: r["kept"] for r in substring_dedup.remove_paragraphs(df).collect()}
+    assert all(got[k].split() == kept for k, kept in exact.items())
+    # A change close to an edge leaves the words beyond it.
+    left = [len(got[k].split()) - kept for k, kept in near.items()]
+    assert max(left) <= substring_dedup.RESUME and left.count(0) >= 0.8 * len(left)
+    assert all(got[k] == t for k, t in rows if k < 10_000)
+
+
+@pytest.mark.parametrize("a, b, want", [
+    ("abcdefgh", "abcdefgh", (8, 8)), ("abxdefghi", "abydefghi", (9, 9)), ("abdefghi", "abxdefghi", (8, 9)),
+    ("abxdefghi", "abdefghi", (9, 8)), ("abxdefg", "abydefg", (2, 2)), ("", "abc", (0, 0)), ("xabcdef", "yabcdef", (7, 7)),
+    ("abcde", "fghij", (0, 0)),
+])
+def test_words_that_agree_by_edits(a, b, want):
+    code = lambda t: np.array([ord(c) for c in t], np.int32)
+    assert substring_dedup.agreeing(code(a), code(b)) == want
