@@ -543,6 +543,15 @@ FROM (SELECT {per} time, street, round_even(speed * 10, 0) / 10 AS r FROM {profi
 GROUP BY {per} time"""
 
 
+def _claimed() -> str:
+    return """
+SELECT chunk.* REPLACE (new_id AS corridor_id)
+FROM chunk JOIN (
+  SELECT corridor_id, row_number() OVER (ORDER BY corridor_id) - 1 AS new_id
+  FROM (SELECT DISTINCT corridor_id FROM matched_usable WHERE corridor_id IS NOT NULL))
+USING (corridor_id)"""
+
+
 def _counters(table: str, per: str = "") -> str:
     return f"""
 SELECT {per} count(*) AS n_sites, count(*) FILTER (NOT is_live) AS n_flatlined,
@@ -573,6 +582,8 @@ SELECT (SELECT count(*) FILTER (is_dead) FROM lane_state) AS n_dead_lanes,
 FROM placed SEMI JOIN (SELECT * FROM lane_state WHERE is_dead) USING (site_id, detector_id, lane)""",
     "measurements": "SELECT * FROM fact",
     "csv_mixed_headers": "SELECT * FROM fact",
+    "measurements_from_csv": "SELECT * FROM fact",
+    "detectors_from_csv": "SELECT * FROM detector",
     "measurements_by_month": "SELECT * FROM fact",
     "day_night": "SELECT * FROM day_night_all",
     "free_flow": "SELECT * FROM freeflow",
@@ -642,6 +653,7 @@ FROM week_slice ORDER BY speed, site_id LIMIT 1""",
 SELECT tramo, speed, congestion * 100 AS congestion_pct, samples
 FROM week_slice ORDER BY speed, site_id LIMIT 12""",
     "slice_export": f"SELECT {_EXPORT} FROM week_slice",
+    "slice_export_file": f"SELECT {_EXPORT} FROM week_slice",
     "dates": "SELECT DISTINCT date FROM fact",
     "street_names": "SELECT DISTINCT street FROM flagged",
     "surface_cells": "SELECT * FROM jam_grid WHERE support > 0",
@@ -682,12 +694,11 @@ SELECT (SELECT count(*) FROM way) AS n_ways, (SELECT count(*) FROM chunk) AS n_c
        (SELECT count(*) FROM corridor) AS n_corridors, count(corridor_id) AS n_matched,
        count(*) AS n_mappable, count(DISTINCT corridor_id) AS n_claimed
 FROM matched_usable""",
-    "claimed_chunks": """
-SELECT chunk.* REPLACE (new_id AS corridor_id)
-FROM chunk JOIN (
-  SELECT corridor_id, row_number() OVER (ORDER BY corridor_id) - 1 AS new_id
-  FROM (SELECT DISTINCT corridor_id FROM matched_usable WHERE corridor_id IS NOT NULL))
-USING (corridor_id)""",
+    "claimed_chunks": _claimed(),
+    # Documents are numbered anew, in their order.
+    "network_from_json": f"""
+SELECT c.* REPLACE (no AS way_id) FROM ({_claimed()}) c
+JOIN (SELECT way_id, row_number() OVER (ORDER BY way_id) - 1 AS no FROM way) USING (way_id)""",
     "field_blend": "SELECT * FROM blend",
     "field_nearest": _closest("reached_far"),
     "field_stub": _closest("reached_near"),
@@ -711,6 +722,8 @@ _DOUBLES: dict[str, str] = {
     "lane_health": "mean_speed",
     "measurements": "speed_sum",
     "csv_mixed_headers": "speed_sum",
+    "measurements_from_csv": "speed_sum",
+    "detectors_from_csv": _SITE_DOUBLES,
     "measurements_by_month": "speed_sum",
     "day_night": "day_speed night_speed",
     "free_flow": "free_flow_speed",
@@ -743,6 +756,8 @@ _DOUBLES: dict[str, str] = {
     "slowest_1": "speed congestion_pct",
     "slowest_12": "speed congestion_pct",
     "slice_export": "lat lon speed congestion vs_typical",
+    "slice_export_file": "lat lon speed congestion vs_typical",
+    "network_from_json": _CHUNK_DOUBLES,
     "surface_cells": "value support",
     "surface_grid": "value support",
     "surface_bounds": "west south east north",

@@ -21,12 +21,14 @@ from lanepulse.operators import cleaning, field, lanes, matching, quality, roads
 from lanepulse.operators import slices, surface
 from lanepulse.operators.sites import placeholder_sites, streets_per_point
 from lanepulse.params import DAY_SCOPES
-from lanepulse.plans.ingest import Ingest
-from lanepulse.plans.network import claimed_network
+from lanepulse.plans.ingest import Ingest, build_tables
+from lanepulse.plans.network import build_network, claimed_network
 from lanepulse.plans.stored import PeriodStore
 from lanepulse.sources.readings import read_readings, write_readings_csv
 from lanepulse.sources.roads import read_ways
 from lanepulse.sources.sample_feed import read_sample_feed, ways_from_sites
+from lanepulse.sources.tables import write_slice_csv
+from lanepulse.sources.versions import Versions
 from lanepulse.staging import session_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +188,24 @@ def csv_load_report(s: Store) -> DataFrame:
     return cleaning.load_report(load.cells)
 
 
+def _built(s: Store, table: str) -> DataFrame:
+    """A table of the whole load job, from CSV files to what was published."""
+    folder = f"{session_folder(s.spark)}/built-{table}"
+    write_readings_csv(s.load.readings, f"{folder}/csv")
+    build_tables(s.spark, f"{folder}/csv", f"{folder}/out")
+    return Versions(s.spark, f"{folder}/out").read(table)
+
+
+@query
+def measurements_from_csv(s: Store) -> DataFrame:
+    return _built(s, "measurements")
+
+
+@query
+def detectors_from_csv(s: Store) -> DataFrame:
+    return _built(s, "detectors")
+
+
 @query
 def csv_mixed_headers(s: Store) -> DataFrame:
     """Half of the feed under other column names in the same folder, read by one path."""
@@ -470,6 +490,15 @@ def slice_export(s: Store) -> DataFrame:
     return slices.slice_export(s.weekday_slice)
 
 
+@query
+def slice_export_file(s: Store) -> DataFrame:
+    """The exported file, read back."""
+    path = f"{session_folder(s.spark)}/slice-csv"
+    export = slices.slice_export(s.weekday_slice)
+    write_slice_csv(export, path)
+    return s.spark.read.schema(export.schema).option("header", True).option("escape", '"').csv(path)
+
+
 @query
 def dates(s: Store) -> DataFrame:
     return slices.dates(s.facts)
@@ -536,16 +565,14 @@ def surface_opacity(s: Store) -> DataFrame:
 # --- roads ---
 
 
-@query
-def ways_from_json(s: Store) -> DataFrame:
-    """Ways written as response documents of at most 200 elements, read back."""
-    path = f"{session_folder(s.spark)}/road-documents"
+def _write_documents(ways: DataFrame, path: str) -> str:
+    """Ways as response documents of at most 200 elements; a folder for each, as a multi-line file holds one."""
     point = F.transform("coords", lambda c: F.struct(c["lat"], c["lon"]))
     element = F.struct(
         point.alias("geometry"), F.struct(F.col("name")).alias("tags"), "way_id"
     )
     documents = (
-        s.ways.select(
+        ways.select(
             F.format_string("%08d", F.floor(F.col("way_id") / 200)).alias("document"),
             element.alias("element"),
         )
@@ -564,9 +591,14 @@ def ways_from_json(s: Store) -> DataFrame:
             ).alias("value")
         )
     )
-    # One folder per document, as each multi-line file holds a single one.
     documents.write.mode("overwrite").partitionBy("document").text(path)
-    ways = read_ways(s.spark, path)
+    return path
+
+
+@query
+def ways_from_json(s: Store) -> DataFrame:
+    """Ways written as response documents, read back."""
+    ways = read_ways(s.spark, _write_documents(s.ways, f"{session_folder(s.spark)}/road-documents"))
     return ways.select(
         "way_id",
         "name",
@@ -576,6 +608,18 @@ def ways_from_json(s: Store) -> DataFrame:
     )
 
 
+@query
+def network_from_json(s: Store) -> DataFrame:
+    """The whole network job over documents under two paths, as its stored table."""
+    folder = f"{session_folder(s.spark)}/network"
+    paths = [
+        _write_documents(s.ways.where(half), f"{folder}/{name}")
+        for name, half in (("major", "way_id < 100"), ("minor", "way_id >= 100"))
+    ]
+    detectors = s.load.detectors(s.facts)
+    return build_network(s.spark, paths, detectors, f"{folder}/out")["streets"]
+
+
 @query
 def corridors(s: Store) -> DataFrame:
     return roads.way_corridors(s.ways)
