@@ -14,6 +14,8 @@ LANE_KEY = ["site_id", "detector_id", "lane"]
 PERIOD = "period"
 # The period of readings that a load's period expression gives none.
 UNDATED = "undated"
+# Column a fact table is laid out by, where that is not its period.
+FOLDER = "folder"
 
 # Weekday numbers with Sunday = 0.
 DAY_SCOPES = {

@@ -20,7 +20,7 @@ from lanepulse.operators.cleaning import (
 from lanepulse.operators.lanes import dead_lane_report
 from lanepulse.operators.sites import extend_sites, number_sites, placeholder_sites, streets_per_point
 from lanepulse.joins import small_side
-from lanepulse.params import DEFAULTS, PERIOD, Params, period_of
+from lanepulse.params import DEFAULTS, FOLDER, PERIOD, Params, period_of
 from lanepulse.sources.readings import read_readings
 from lanepulse.sources.tables import fact_order
 from lanepulse.sources.versions import Versions
@@ -93,6 +93,7 @@ def build_tables(
     out: str,
     *,
     period: Column | None = None,
+    folders: Column | None = None,
     p: Params = DEFAULTS,
     **csv_options: str,
 ) -> dict[str, DataFrame]:
@@ -103,6 +104,8 @@ def build_tables(
     the month of `date`) makes dead lanes and site figures per period. A load then
     replaces the periods that it has rows for and keeps the others, and sites keep
     their numbers over all loads. Periods are text; readings without one form the period "undated".
+    `folders` (again for instance the month), for a load without a period, only lays the fact table out:
+    it has a column `folder` then and a part for each of its values, and rules stay those of the whole input.
     The tables are returned whole, with the periods of earlier loads; load and lane
     reports are about this load.
     """
@@ -120,12 +123,21 @@ def build_tables(
     if by:
         draft.write("sites", load.sites)
         measured = load.with_site_key(measured)
-    facts = draft.write("measurements", fact_order(measured), by)
+    if folders is not None:
+        if by:
+            raise ValueError("a load by period is laid out by period")
+        measured = measured.withColumn(FOLDER, named_period(folders))
+    laid = by if folders is None else FOLDER
+    facts = draft.write("measurements", fact_order(measured, laid), laid)
     sites = load.detectors(facts)
     if by:
         sites = load.with_site_key(sites)
     draft.write("detectors", sites.hint("rebalance", PERIOD) if by else sites, by)
-    replaced = [r[0] for r in load.lanes.select(PERIOD).distinct().collect()] if by else None
+    if by:
+        replaced = [r[0] for r in load.lanes.select(PERIOD).distinct().collect()]
+    else:
+        # The whole input takes the place of all that was there.
+        replaced = list(versions.record(draft.base).get("measurements", {}).get("parts", {}))
     version = draft.publish(replaced)
     detectors = versions.read("detectors", version=version)
     return {

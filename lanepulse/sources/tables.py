@@ -17,14 +17,14 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     writer.parquet(path)
 
 
-def fact_order(measurements: DataFrame) -> DataFrame:
-    """The fact table as it is best written, one folder per period when there are several.
+def fact_order(measurements: DataFrame, folder: str | None = None) -> DataFrame:
+    """The fact table as it is best written, one folder per period or value of `folder`.
 
     Rows are ordered by day and bucket inside each file, so a slice skips the
     row groups it does not need. Periods are first brought together, a long one
     over several tasks, so that no task writes a small file into every folder.
     """
-    keys = period_of(measurements)
+    keys = [folder] if folder else period_of(measurements)
     if keys:
         measurements = measurements.hint("rebalance", *keys)
     return measurements.sortWithinPartitions(*keys, "dow", "bucket", "site_id")

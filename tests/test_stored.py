@@ -222,3 +222,21 @@ def test_a_load_stopped_between_its_tables_leaves_the_earlier_pair(spark, tmp_pa
     assert pairs.count() == later["measurements"].count()
     assert later["detectors"].select("site_id", "site_key").distinct().count() == \
         later["detectors"].select("site_id").distinct().count()
+
+
+def test_folders_lay_facts_out_and_change_no_rule(spark, tmp_path):
+    write_readings_csv(frame(spark, AUGUST + LATER), str(tmp_path / "csv"))
+    plain = build_tables(spark, str(tmp_path / "csv"), str(tmp_path / "plain"))
+    laid = build_tables(spark, str(tmp_path / "csv"), str(tmp_path / "laid"), folders=month())
+    versions = Versions(spark, str(tmp_path / "laid"))
+    assert versions.parts("measurements") == ["2026-08", "2026-09"] and versions.parts("detectors") == [""]
+    assert rows(laid["measurements"], "folder") == rows(plain["measurements"])
+    assert rows(laid["detectors"]) == rows(plain["detectors"])
+    # Lane 2 is alive over both months; a slice of one folder reads that alone.
+    files = laid["measurements"].where("folder = '2026-08'").inputFiles()
+    assert files and all("folder=2026-08" in f for f in versions.read("measurements", ["2026-08"]).inputFiles())
+    write_readings_csv(frame(spark, LATER), str(tmp_path / "less"))
+    less = build_tables(spark, str(tmp_path / "less"), str(tmp_path / "laid"), folders=month())
+    assert versions.parts("measurements") == ["2026-09"] and less["detectors"].count() == 4
+    with pytest.raises(ValueError, match="laid out by period"):
+        build_tables(spark, str(tmp_path / "csv"), str(tmp_path / "no"), period=month(), folders=month())
