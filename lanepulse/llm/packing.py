@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from lanepulse.staging import stage
 SEQUENCE = 2048
 END = 1
 GROUP_PIECES = 4096
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 LONGEST_CACHED = 48
 _BLOCK = 1 << 20
 
@@ -30,6 +31,13 @@ _PIECES = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("start", pa.int64
                      ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
 
+# How byte-level tokenizers write a byte: printable ones as their character, the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_AS_CHARACTER = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+# Texts whose ids show whether a tokenizer does what the look-up of words takes for granted.
+_PROBES = ["One", "two", "\u00c9t\u00e9", "stra\u00dfe", "\u03b1\u03b2\u03b3", "it's", "x.", "a-b,", "9z", "\u4e2d\u6587"]
+
+
 class Encoder:
     """Token ids as little-endian 32-bit bytes; words seen before are looked up.
 
@@ -37,7 +45,9 @@ class Encoder:
     those of its chunks between spaces and line ends. Only these four characters
     cut: every engine agrees on them. It also parts letters from marks and lowers
     all letters, so a word's forms share one entry. The first CACHED_WORDS forms
-    are kept, which the frequent ones are among.
+    are kept, which the frequent ones are among. Words of letters alone go to the vocabulary's
+    merges at once, past normaliser and splitter, where that gives the same ids. A tokenizer
+    that does not keep to this is refused.
     """
 
     def __init__(self, path: str):
@@ -45,14 +55,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        alone = self._ids(_PROBES)
+        together = self._ids([" " + " \n\t".join(_PROBES) + "\r ", " ".join(_PROBES).lower()])
+        if {b"".join(alone)} != set(together):
+            raise ValueError(f"{path} does not drop white space and letter case")
+        words = [(w.lower(), ids) for w, ids in zip(_PROBES, alone) if w.isalpha()]
+        self.direct = self._letter_ids([w for w, _ in words]) == [ids for _, ids in words]
         self.seen: dict[str, bytes] = dict(zip("., ", self._ids([".", ",", " "])))
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _letter_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of composed lower-case words of letters."""
+        tokenize = self.model.tokenize
+        written = (
+            w if w.isascii() else w.encode().decode("latin-1").translate(_AS_CHARACTER) for w in words
+        )
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in written]
+
     def _learn(self, new: set[str]) -> list[str]:
-        seen, forms, unknown = self.seen, [], []
+        seen, forms, unknown, words = self.seen, [], [], set()
         for chunk in new:
             mark = chunk[-1:] if chunk[-1:] in (".", ",") else ""
             stem = chunk[: len(chunk) - len(mark)]
@@ -60,11 +85,17 @@ class Encoder:
                 low = stem.lower()
                 forms.append((chunk, low, mark))
                 if low not in seen:
-                    unknown.append(low)
+                    words.add(low)
             else:
                 unknown.append(chunk)
-        unknown = list(set(unknown))
+        if not self.direct:
+            unknown += words
+            words = set()
+        odd = {w for w in words if not (w.isascii() or w.isalpha() and is_normalized("NFC", w))}
+        words, unknown = list(words - odd), list({*unknown, *odd})
         seen.update(zip(unknown, self._ids(unknown)))
+        seen.update(zip(words, self._letter_ids(words)))
+        unknown += words
         for chunk, low, mark in forms:
             seen[chunk] = seen[low] + seen[mark] if mark else seen[low]
         return [c for c, _, _ in forms] + unknown
